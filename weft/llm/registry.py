@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import quality_rules
+from weft.llm import packing, quality_rules
 
 #: Where the public vocabularies are; a parameter of the operators.
 VOCABULARIES = Path(public_tokenizers.path("word_bpe_49k.json")).parent
@@ -39,6 +39,10 @@ FERTILITY = quality_rules.FertilityRules(
 )
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), str(VOCABULARIES / "word_bpe_49k.json"), 2048)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(table(spark, sf_dir, "documents"), FERTILITY)
 
