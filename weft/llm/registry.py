@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import packing, quality_rules
+from weft.llm import packing, quality_rules, secrets
 
 #: Where the public vocabularies are; a parameter of the operators.
 VOCABULARIES = Path(public_tokenizers.path("word_bpe_49k.json")).parent
@@ -47,6 +47,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(table(spark, sf_dir, "documents"), FERTILITY)
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
