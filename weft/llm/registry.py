@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import mixing, packing, quality_rules, secrets
+from weft.llm import html_text, mixing, packing, quality_rules, secrets
 
 #: Where the public vocabularies are; a parameter of the operators.
 VOCABULARIES = Path(public_tokenizers.path("word_bpe_49k.json")).parent
@@ -47,6 +47,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(table(spark, sf_dir, "documents"), FERTILITY)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), budget=1.5, most_copies=2)
 
