@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import html_text, mixing, packing, quality_rules, secrets, suffix_dedup
+from weft.llm import html_text, mixing, packing, quality_rules, recompression, secrets, suffix_dedup
 
 #: Where the public vocabularies are; a parameter of the operators.
 VOCABULARIES = Path(public_tokenizers.path("word_bpe_49k.json")).parent
@@ -61,6 +61,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), budget=1.5, most_copies=2)
 
 
+def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = recompression.dedup(table(spark, sf_dir, "documents"), width=35)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
