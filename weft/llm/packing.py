@@ -41,10 +41,7 @@ def pieces(documents: DataFrame, vocabulary: str, capacity: int, close: int = 0)
 
     def of(batches):
         for part, block in blocks(batches, size=wordpieces.WORD_BLOCK):
-            number, words, count = wordpieces.distinct_words(block)
-            flat, starts = wordpieces.load("tokenizers", vocabulary).words(words, count)
-            ids, length = wordpieces.expand(number, flat, starts)
-            first = np.concatenate([[0], np.cumsum(length)])[block.words[3]]
+            ids, first = wordpieces.lower_words(vocabulary).ids(block)
             raw, ids4 = ids.astype("<u4").tobytes(), np.uint32(close).tobytes()
             total = np.diff(first) + 1
             n = -(-total // capacity)

@@ -50,7 +50,7 @@ def name_runs(symbol: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def name_pairs(symbol: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Names after left-right pairs are named, their documents, each symbol's new place, and which were left symbols."""
-    left = (mix(symbol ^ (_SIDE * np.uint64(k + 1))) & np.uint64(1)) == 0
+    left = (mix(symbol ^ mix(np.array([k + 1], dtype=np.uint64))) & np.uint64(1)) == 0
     second = np.zeros(len(symbol), dtype=bool)
     second[1:] = left[:-1] & ~left[1:] & (doc[1:] == doc[:-1])
     at = np.flatnonzero(~second)

@@ -44,9 +44,10 @@ def lines(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     data = block.data
     if not len(data):
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    breaks = np.flatnonzero(data == 10)
-    start = np.union1d(block.bounds[:-1], breaks + 1)
-    start = start[start < len(data)]
+    marks = np.zeros(len(data) + 1, dtype=bool)
+    marks[1:] = data == 10
+    marks[block.bounds] = True
+    start = np.flatnonzero(marks[:-1])
     end = np.append(start[1:], len(data))
     end = end - ((end > start) & (data[end - 1] == 10))
     solid = np.concatenate([[0], np.cumsum(~SPACE[data])])
@@ -62,11 +63,13 @@ def base_stats(block: Block) -> dict[str, np.ndarray]:
     first = block.words[3]
     data = block.data
     _, _, doc, key = lines(block)
-    distinct = np.bincount(doc[np.unique(key, return_index=True)[1]], minlength=block.n)
+    order = np.argsort(key)
+    again = np.zeros(len(key), dtype=bool)
+    again[1:] = key[order][1:] == key[order][:-1]
     return {
         "n_words": np.diff(first),
         "word_chars": block.per_doc(~SPACE[data] & ((data & 0xC0) != 0x80)),
         "n_symbols": block.per_doc(SYMBOLS[data]),
-        "n_dup_lines": np.bincount(doc, minlength=block.n) - distinct,
+        "n_dup_lines": np.bincount(doc[order][again], minlength=block.n),
         "n_repeat_words": repeat_words(block),
     }

@@ -59,7 +59,8 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return (prefix[end] - prefix[start]) * powers(INVERSE, len(prefix))[start]
 
 
-def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each maximal run of bytes that aren't white space; no run crosses documents."""
     n = len(data)
     solid = ~SPACE[data]
     first = np.zeros(n + 1, dtype=bool)
@@ -69,9 +70,7 @@ def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     start = np.flatnonzero(solid & (~before | first[:n]))
     after = np.zeros(n, dtype=bool)
     after[: n - 1] = solid[1:]
-    end = np.flatnonzero(solid & (~after | first[1:])) + 1
-    prefix = prefix_hash(BYTE_CODE[data])
-    return start, end, mix(span_hash(prefix, start, end) + (end - start).astype(np.uint64))
+    return start, np.flatnonzero(solid & (~after | first[1:])) + 1
 
 
 class Block:
@@ -100,18 +99,24 @@ class Block:
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """start, end (bytes), hash of each word, and the index of each document's first word (n + 1 entries)."""
         if self._words is None:
-            parts, at = [], 0
-            while at < self.n:
-                to = int(np.searchsorted(self.bounds, self.bounds[at] + BLOCK_BYTES, side="right")) - 1
-                to = min(max(to, at + 1), self.n)
-                base = self.bounds[at]
-                start, end, code = _words(self.data[base : self.bounds[to]], self.bounds[at : to + 1] - base)
-                parts.append((start + base, end + base, code))
-                at = to
-            start, end, code = (np.concatenate([p[k] for p in parts] or [np.zeros(0, (np.int64, np.int64, np.uint64)[k])]) for k in range(3))
+            start, end, code = self.spans(word_bounds)
             self._words = start, end, code, np.searchsorted(start, self.bounds)
         return self._words
 
+    def spans(self, find) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """start, end and hash of what ``find(data, bounds)`` finds, looked for in some documents at a time."""
+        parts, at = [], 0
+        while at < self.n:
+            to = int(np.searchsorted(self.bounds, self.bounds[at] + BLOCK_BYTES, side="right")) - 1
+            to = min(max(to, at + 1), self.n)
+            base = self.bounds[at]
+            data = self.data[base : self.bounds[to]]
+            start, end = find(data, self.bounds[at : to + 1] - base)
+            prefix = prefix_hash(BYTE_CODE[data])
+            parts.append((start + base, end + base, mix(span_hash(prefix, start, end) + (end - start).astype(np.uint64))))
+            at = to
+        return tuple(np.concatenate([p[k] for p in parts] or [np.zeros(0, (np.int64, np.int64, np.uint64)[k])]) for k in range(3))
+
     def per_doc(self, flags: np.ndarray) -> np.ndarray:
         """How many set flags (one for each byte) each document has."""
         total = np.zeros(len(flags) + 1, dtype=np.int64)
