@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import chosen_path, html_text, mixing, packing, quality_rules, recompression, secrets, suffix_dedup
+from weft.llm import chosen_path, html_text, mixing, packing, quality_rules, recompression, rule_ensemble, secrets, suffix_dedup
 
 #: Where the public vocabularies are; a parameter of the operators.
 VOCABULARIES = Path(public_tokenizers.path("word_bpe_49k.json")).parent
@@ -40,6 +40,10 @@ FERTILITY = quality_rules.FertilityRules(
 )
 
 
+def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), str(VOCABULARIES / "word_bpe_49k.json"), 2048)
 
