@@ -94,22 +94,38 @@ def fertility(block: Block, rules: FertilityRules, chars: np.ndarray) -> dict[st
     }
 
 
+def judged(block: Block, langs: list, rules: FertilityRules) -> dict:
+    """Counts, measures and verdict for each document of the block."""
+    stats = base_stats(block)
+    n, repeats = stats["n_words"], stats["n_repeat_words"]
+    measures = fertility(block, rules, stats["word_chars"])
+    scripts = script_of(block)
+    failed = (n < rules.min_words) | (100 * repeats > rules.max_repeat_percent * n)
+    inside = []
+    for k, (lang, script) in enumerate(zip(langs, scripts, strict=True)):
+        band = rules.by_language.get(lang) or rules.by_script.get(script)
+        low, high = band.chars_per_token if band else (0, np.inf)
+        inside.append(band is None or (low <= measures["chars_per_token"][k] <= high and measures["byte_share"][k] <= band.byte_share and measures["evenness"][k] >= band.evenness))
+    return stats | measures | {"base_failed": failed, "kept": ~failed & np.array(inside, dtype=bool), "script": scripts}
+
+
 def score(documents: DataFrame, rules: FertilityRules) -> DataFrame:
     """Counts, measures and verdict of every document; one row a row of ``documents``, which needs doc_id, text, lang."""
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def of(batches):
         for part, block in blocks(batches, size=wordpieces.WORD_BLOCK):
-            stats = base_stats(block)
-            n, repeats = stats["n_words"], stats["n_repeat_words"]
-            measures = fertility(block, rules, stats["word_chars"])
-            scripts = script_of(block)
-            failed = (n < rules.min_words) | (100 * repeats > rules.max_repeat_percent * n)
-            bands = [rules.by_language.get(lang) or rules.by_script.get(script) for lang, script in zip(part.column("lang").to_pylist(), scripts, strict=True)]
-            low, high, share, even = (np.array([get(b) if b else default for b in bands], dtype=float) for get, default in (
-                (lambda b: b.chars_per_token[0], 0), (lambda b: b.chars_per_token[1], np.inf), (lambda b: b.byte_share, 1), (lambda b: b.evenness, 0)))
-            inside = (low <= measures["chars_per_token"]) & (measures["chars_per_token"] <= high) & (measures["byte_share"] <= share) & (even <= measures["evenness"])
-            names = [x.split()[0] for x in SCHEMA.split(", ")]
-            columns = stats | measures | {"doc_id": part.column("doc_id"), "base_failed": failed, "kept": ~failed & inside, "script": scripts}
-            yield pa.RecordBatch.from_arrays([pa.array(columns[x]) if not isinstance(columns[x], pa.Array) else columns[x] for x in names], names=names)
+            columns = judged(block, part.column("lang").to_pylist(), rules)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(columns[x]) for x in names[1:])], names=names)
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(of, SCHEMA)
+
+
+def keep(documents: DataFrame, rules: FertilityRules) -> DataFrame:
+    """The documents whose verdict is to keep them, all columns as they are."""
+
+    def of(batches):
+        for part, block in blocks(batches, size=wordpieces.WORD_BLOCK):
+            yield part.filter(pa.array(judged(block, part.column("lang").to_pylist(), rules)["kept"]))
+
+    return documents.mapInArrow(of, documents.schema)

@@ -40,6 +40,10 @@ FERTILITY = quality_rules.FertilityRules(
 )
 
 
+#: Five-word shingles, similarity 0.8 or more.
+NEAR = chosen_path.Join(width=5, numerator=4, denominator=5)
+
+
 def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,7 +57,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chosen_path.join(table(spark, sf_dir, "documents"), chosen_path.Join(width=5, numerator=4, denominator=5))
+    return chosen_path.join(table(spark, sf_dir, "documents"), NEAR)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +83,9 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    import corpus_pipeline
+
+    return {name: f for name, f in globals().items() if name.startswith("op")} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
