@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import chosen_path, html_text, mixing, packing, quality_rules, recompression, rule_ensemble, secrets, suffix_dedup
+from weft.llm import chosen_path, html_text, mixing, packing, quality_rules, recompression, rule_ensemble, secrets, suffix_dedup, top_k
 
 #: Where the public vocabularies are; a parameter of the operators.
 VOCABULARIES = Path(public_tokenizers.path("word_bpe_49k.json")).parent
@@ -82,6 +82,11 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return top_k.search(documents, documents.filter("doc_id % 50 = 0"), top_k.Search(k=10))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
