@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.repeats import groups
+from weft.llm.shared import small_batches
 from weft.llm.stats import doc_of
 from weft.llm.textblock import Block, blocks
 
@@ -136,9 +137,13 @@ class Best:
         self.least = np.zeros(n)  # a row with less is not among the best; 0 until there are k
 
     def add(self, query: np.ndarray, score: np.ndarray, doc: np.ndarray) -> None:
+        """Only the rows of queries that get any are put in order again."""
         if not len(query):
             return
-        query, score, doc = np.concatenate([self.query, query]), np.concatenate([self.score, score]), np.concatenate([self.doc, doc])
+        touched = np.zeros(len(self.least), dtype=bool)
+        touched[query] = True
+        rest = ~touched[self.query]
+        query, score, doc = (np.concatenate([old[~rest], new]) for old, new in ((self.query, query), (self.score, score), (self.doc, doc)))
         order = np.lexsort((doc, -score, query))
         query, score, doc = query[order], score[order], doc[order]
         at = groups(query)
@@ -146,7 +151,7 @@ class Best:
         keep = rank < self.k
         last = rank == self.k - 1
         self.least[query[last]] = score[last]
-        self.query, self.score, self.doc = query[keep], score[keep], doc[keep]
+        self.query, self.score, self.doc = (np.concatenate([old[rest], new[keep]]) for old, new in ((self.query, query), (self.score, score), (self.doc, doc)))
 
 
 class Scorer:
@@ -193,6 +198,7 @@ class Scorer:
             at = np.arange(int(fan.sum())) - np.repeat(np.cumsum(fan) - fan, fan) + np.repeat(self.term_starts[number[lo:hi]], fan)
             cell = self.of_term[at].astype(np.int64) * (z - a) + np.repeat(doc[lo:hi] - a, fan)
             rare = np.bincount(cell, weights=np.repeat(impact[lo:hi], fan), minlength=nq * (z - a)).reshape(nq, z - a)
+            found = []
             for j in range(k, min(k + 8, len(edges))):
                 b, y = j * how.block - a, min((j + 1) * how.block, n) - a
                 mine = rare[:, b:y]
@@ -200,8 +206,13 @@ class Scorer:
                 for c in range(0, len(ask), 1024):
                     some = ask[c : c + 1024]
                     score = np.round(self.weight[some].astype(float) @ matrix[a + b : a + y].T + mine[some], 6)
-                    q, d = np.nonzero((score >= self.best.least[some, None]) & (score > 0))
-                    self.best.add(some[q], score[q, d], ids[a + b + d])
+                    least = self.best.least[some]
+                    if score.shape[1] > how.k and not least.all():  # queries that have no k rows yet: at most this block's best k
+                        least = np.maximum(least, np.partition(score, -how.k, axis=1)[:, -how.k])
+                    q, d = np.nonzero((score >= least[:, None]) & (score > 0))
+                    found.append((some[q], score[q, d], ids[a + b + d]))
+            if found:
+                self.best.add(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
 RESULT = "query_id long, found array<struct<score:double,doc_id:long>>"
@@ -236,6 +247,8 @@ def search_round(documents: DataFrame, queries: Queries, how: Search) -> DataFra
             if at:
                 scorer.index(*(np.concatenate(x) for x in (ids, lengths, docs, numbers, times)))
         best = scorer.best
+        order = np.argsort(best.query, kind="stable")
+        best.query, best.score, best.doc = best.query[order], best.score[order], best.doc[order]
         edge = groups(best.query)
         end = np.append(edge[1:], len(best.query))
         for k in range(0, len(edge), 10_000):
@@ -248,9 +261,16 @@ def search_round(documents: DataFrame, queries: Queries, how: Search) -> DataFra
 
     def sliced(batches):
         """Batches of how.index documents, gathered from what Spark hands over."""
+        waiting = []
         for batch in batches:
-            for k in range(0, batch.num_rows, how.index):
-                yield batch.slice(k, how.index)
+            waiting.append(batch)
+            if sum(b.num_rows for b in waiting) >= how.index:
+                whole = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+                full = whole.num_rows // how.index * how.index
+                yield from (whole.slice(k, how.index) for k in range(0, full, how.index))
+                waiting = [whole.slice(full)] if full < whole.num_rows else []
+        if sum(b.num_rows for b in waiting):
+            yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
 
     # As many shards as the cluster has cores twice over, whatever the input: fewer scores to merge, and k-th scores rise sooner.
     shards = max(1, 2 * context.defaultParallelism)
@@ -261,7 +281,7 @@ def search(documents: DataFrame, queries: DataFrame, how: Search = Search()) ->
     """query_id, rank, doc_id, score: the best k documents for every query (a row with doc_id and text)."""
     spark = documents.sparkSession
     lang = F.col("lang").cast("string") if "lang" in documents.columns else F.lit(None).cast("string")
-    docs = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), lang.alias("lang"))
+    docs = small_batches(documents).select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), lang.alias("lang"))
     parts = [search_round(docs, q, how) for q in query_rounds(queries, how)]
     found = parts[0] if parts else spark.createDataFrame([], RESULT)
     for more in parts[1:]:
