@@ -221,7 +221,7 @@ class Compiler:
         pattern = node.delimiter if self.options.explode_regex else "".join("\\" + c if not c.isalnum() and not c.isspace() else c for c in node.delimiter)
         parts = F.split(F.col(old.physical), pattern, -1)
         last = F.array_max(F.transform(parts, lambda x, i: F.when(x != "", i + 1).otherwise(0)))
-        kept = F.when(F.col(old.physical).isNull(), F.array(F.lit(None).cast("string"))).when(last == 0, F.array(F.lit(""))).otherwise(F.transform(F.slice(parts, 1, last), F.trim))
+        kept = F.when(F.col(old.physical).isNull(), F.array(F.lit(None).cast("string"))).when(last == 0, F.array(F.lit(""))).otherwise(F.transform(F.slice(parts, 1, last), lambda x: F.regexp_replace(x, r"^[\x00-\x20]+|[\x00-\x20]+$", "")))
         df = rel.df.select("*", F.posexplode(kept).alias(place, name)).drop(old.physical)
         change = lambda f: Field(f.name, name, f.type) if f == old else f
         order = tuple((name if c == old.physical else c, up) for c, up in rel.order)

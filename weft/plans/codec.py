@@ -77,7 +77,7 @@ def decode(kind, data):
         if len(options) == 1:
             return decode(options[0], data)
         return _tagged(data)
-    if isinstance(kind, type) and issubclass(kind, m.Node):
+    if kind is m.Node:
         return _tagged(data)
     if kind is m.MemoryTable:
         rows = tuple(tuple((k, None if v is None else literal(v)) for k, v in row.items()) for row in data.get("rows", []))
