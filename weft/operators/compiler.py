@@ -11,6 +11,7 @@ Queries", BTW 2015.)  A receiver that only filters needs no domain: its predicat
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,10 +41,15 @@ class Options:
 
 @dataclass
 class Domain:
-    """Outer values: ``df`` has one distinct row for each; ``ids`` maps outer columns to its columns."""
+    """Outer values in independent factors, each a frame of distinct rows and the outer columns its columns stand for.
 
-    df: DataFrame
-    ids: dict[str, str]
+    Their product is what a receiver may meet; it is only formed where an operator needs all of it.
+    """
+
+    factors: list[tuple[DataFrame, dict[str, str]]]
+
+    def column(self, k: str) -> str:
+        return next(ids[k] for _, ids in self.factors if k in ids)
 
 
 @dataclass
@@ -98,16 +104,25 @@ class Compiler:
             if scope.domain is None:
                 return F.lit(None).cast(SPARK_TYPES.get(outer.type, "string")), outer.type
             held = relation.domain.get(outer.physical) if relation else None
-            return F.col(held or scope.domain.ids[outer.physical]), outer.type
+            return F.col(held or scope.domain.column(outer.physical)), outer.type
 
         return resolve, met
 
     @staticmethod
-    def _values(scope: Scope, ids) -> tuple[DataFrame, dict[str, str]]:
-        """The distinct outer values for some outer columns, under new names."""
-        names = {k: fresh("d") for k in ids}
-        wanted = scope.domain.df.select(*[F.col(scope.domain.ids[k]).alias(n) for k, n in names.items()])
-        return (wanted if set(ids) == set(scope.domain.ids) else wanted.distinct()), names
+    def _factors(scope: Scope, ids) -> tuple[list[DataFrame], dict[str, str]]:
+        """The distinct outer values for some outer columns, by factor, under new names."""
+        names, frames = {k: fresh("d") for k in ids}, []
+        for df, of in scope.domain.factors:
+            mine = [k for k in of if k in names]
+            if mine:
+                wanted = df.select(*[F.col(of[k]).alias(names[k]) for k in mine])
+                frames.append(wanted if len(mine) == len(of) else wanted.distinct())
+        return frames, names
+
+    def _values(self, scope: Scope, ids) -> tuple[DataFrame, dict[str, str]]:
+        """The product of these factors."""
+        frames, names = self._factors(scope, ids)
+        return reduce(DataFrame.crossJoin, frames), names
 
     def _carry(self, relation: Relation, ids, scope: Scope) -> Relation:
         """The relation with these outer columns in its domain, each row once for every value it doesn't carry yet."""
@@ -161,10 +176,11 @@ class Compiler:
         if not missing or scope.domain is None:
             return rel.with_(df=rel.df.filter(predicate), truth=False)
         # Values that the rows don't carry yet come by a join on the predicate itself.
-        values, names = self._values(scope, missing)
+        # Written as one product under a filter, which Spark takes apart into a join for each factor.
+        frames, names = self._factors(scope, missing)
         wide = rel.with_(domain=rel.domain | names)
         predicate = conditions.to_column(node.condition, self._resolver(wide, scope)[0])
-        return wide.with_(df=rel.df.join(values, predicate), truth=False)
+        return wide.with_(df=reduce(DataFrame.crossJoin, frames, rel.df).filter(predicate), truth=False)
 
     def _project(self, node: m.ProjectNode, rel: Relation, scope: Scope) -> Relation:
         wanted = [rel.need(c) for c in node.columns]
@@ -306,11 +322,13 @@ class Compiler:
         first, second = query.inputs[::-1] if provider_is_right else query.inputs
         provider = self.compile(first, scope)
         if correlates:
-            provider, receiver, predicate, pairs = self._receive(provider, second, scope)
+            provider, receiver, predicate, pairs = self._receive(provider, second, scope, kind)
         else:
             receiver, predicate, pairs = self.compile(second, scope).renamed(), None, []
+        matched = [c for _, c in pairs]
+        pairs = [F.col(a).eqNullSafe(F.col(b)) for a, b in pairs]
         terms = [(provider, receiver, *((t.right, t.left) if provider_is_right else (t.left, t.right))) for t in on]
-        if not pairs and (provider.domain or receiver.domain):
+        if not correlates and (provider.domain or receiver.domain):
             if kind == "INNER":
                 pairs = self._pairs(provider, receiver)
             else:
@@ -324,30 +342,48 @@ class Compiler:
             equal.append(F.col(x.physical) == F.col(y.physical))
         if receiver.truth and not on and kind in ("LEFT_SEMI", "LEFT_ANTI"):
             receiver = receiver.with_(df=receiver.df.filter(F.col(receiver.columns[0])))
+        if kind == "LEFT_SEMI" and receiver.domain:
+            return self._semi_join(provider, receiver, equal + pairs, [r.need(b).physical for _, r, _, b in terms] + matched)
         tests = equal + pairs + ([predicate] if predicate is not None else [])
         hint = None if loops else "merge" if node.algorithm == "MERGE" else "shuffle_hash"
         return self._joined(provider, receiver, tests, kind if not provider_is_right else "LEFT", hint)
 
-    def _receive(self, provider: Relation, query: Query, scope: Scope):
+    @staticmethod
+    def _semi_join(provider: Relation, receiver: Relation, tests: list[Column], used: list[str]) -> Relation:
+        """A semi join whose receiver reads outer rows the provider doesn't carry: provider rows with the outer values
+        for which there is a match."""
+        found = receiver.df.select(*dict.fromkeys([*used, *receiver.domain.values()])).distinct()
+        df = provider.df.join(found, tests) if tests else provider.df.crossJoin(found)
+        return provider.with_(df=df.select(*provider.df.columns, *receiver.domain.values()), domain=provider.domain | receiver.domain, truth=False)
+
+    def _receive(self, provider: Relation, query: Query, scope: Scope, kind: str):
         """The receiver for this provider: (provider, receiver, further predicate, tests on outer values)."""
         inner = Scope((*scope.providers, provider))
         trial = self.compile(query, inner)
         own = [k for k in inner.noted if k in provider.df.columns]
         up = [k for k in inner.noted if k not in own]
         scope.noted.update({k: inner.noted[k] for k in up})
-        if not inner.noted:
-            return provider, trial.renamed(), None, []
-        if scope.domain is None and up:
-            return provider, trial.renamed(), None, []  # a trial itself: only what is read matters
+        if not inner.noted or (scope.domain is None and up):
+            # Nothing outer is read; or this is a trial itself, in which only what is read matters.
+            return provider, trial.renamed().with_(domain={}), None, []
         if not up and not provider.domain and (chain := self._filters_only(query, provider)) is not None:
             return provider, *chain, []
-        provider = self._carry(provider, up, scope)
-        names = {k: fresh("d") for k in inner.noted}
-        values = provider.df.select(*[F.col(k if k in own else provider.domain[k]).alias(names[k]) for k in names]).distinct()
-        inner.domain = Domain(values, names)
+        if kind not in ("INNER", "LEFT_SEMI"):
+            # Rows without a match count, and do so for each outer value.
+            provider = self._carry(provider, up, scope)
+        held = {k: k for k in own} | {k: provider.domain[k] for k in up if k in provider.domain}
+        names = {k: fresh("d") for k in held}
+        values = provider.df.select(*[F.col(c).alias(names[k]) for k, c in held.items()]).distinct()
+        inner.domain = Domain([(values, names)] if names else [])
+        rest = [k for k in up if k not in held]
+        if rest:
+            for df, ids in scope.domain.factors:
+                mine = {k: ids[k] for k in rest if k in ids}
+                if mine:
+                    inner.domain.factors.append((df.select(*mine.values()).distinct(), mine))
         receiver = self.compile(query, inner).renamed()
-        pairs = [F.col(k if k in own else provider.domain[k]).eqNullSafe(F.col(c)) for k, c in receiver.domain.items()]
-        return provider, receiver.with_(domain={}), None, pairs
+        pairs = [(held[k], c) for k, c in receiver.domain.items() if k in held]
+        return provider, receiver.with_(domain={k: c for k, c in receiver.domain.items() if k not in held}), None, pairs
 
     def _filters_only(self, query: Query, provider: Relation):
         """(receiver without its filters, their conjunction), if the receiver only filters and renames what reads no
