@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.components import components
 from weft.llm.repeats import groups
-from weft.llm.shared import cut
+from weft.llm.shared import cut, small_batches
 from weft.llm.stats import doc_of
 from weft.llm.textblock import Block, blocks, mix, prefix_hash, span_hash, window_starts
 
@@ -275,7 +275,7 @@ def join(documents: DataFrame, how: Join = Join()) -> DataFrame:
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 8 * tasks
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = documents.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("th"))
+    docs = small_batches(documents).select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("th"))
     sketch = cut(sketches(docs, how))
     named = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
     classes = sketch.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min(named).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("nodes").alias("nodes"))

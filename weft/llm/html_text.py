@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weft.llm.shared import cut
+from weft.llm.shared import cut, small_batches
 
 #: Winners of so many hosts at most are broadcast (a row has some 100 bytes).
 MOST_BROADCAST = 50_000
@@ -207,7 +207,7 @@ def winners(pages: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string"))
+    rows = small_batches(pages).select(F.col("page_id").cast("long"), F.col("url").cast("string"), host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string"))
     won = winners(rows)
     usual = won.groupBy("paths").count().orderBy(F.desc("count"), "paths").limit(1).collect()
     default = list(usual[0].paths) if usual else []

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weft.llm import wordpieces
-from weft.llm.shared import cut
+from weft.llm.shared import cut, small_batches
 from weft.llm.textblock import blocks
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -55,7 +55,7 @@ def pieces(documents: DataFrame, vocabulary: str, capacity: int, close: int = 0)
                 names=[x.split()[0] for x in PIECES.split(", ")],
             )
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(of, PIECES)
+    return small_batches(documents).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(of, PIECES)
 
 
 def patterns(lengths: np.ndarray, capacity: int, per_length: int = 12, most: int = 6) -> list[tuple[int, ...]]:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import wordpieces
+from weft.llm.shared import small_batches
 from weft.llm.stats import base_stats, doc_of
 from weft.llm.textblock import Block, blocks
 
@@ -59,11 +60,11 @@ SCHEMA = (
 )
 
 
-def script_of(block: Block) -> list[str]:
+def script_of(block: Block) -> np.ndarray:
     """The script with the most letters; latin for a text without letters and in a tie."""
     kind = _SCRIPT_OF[block.data]
     counts = np.stack([block.per_doc(kind == k + 1) for k in range(len(SCRIPTS))])
-    return [SCRIPTS[k] for k in counts.argmax(axis=0)]
+    return np.array(SCRIPTS)[counts.argmax(axis=0)]
 
 
 def fertility(block: Block, rules: FertilityRules, chars: np.ndarray) -> dict[str, np.ndarray]:
@@ -96,10 +97,11 @@ def fertility(block: Block, rules: FertilityRules, chars: np.ndarray) -> dict[st
 
 def judged(block: Block, langs: list, rules: FertilityRules) -> dict:
     """Counts, measures and verdict for each document of the block."""
-    stats = base_stats(block)
+    parts = [base_stats(part) | {"script": script_of(part)} for part in block.split()]
+    stats = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
     n, repeats = stats["n_words"], stats["n_repeat_words"]
     measures = fertility(block, rules, stats["word_chars"])
-    scripts = script_of(block)
+    scripts = stats.pop("script")
     failed = (n < rules.min_words) | (100 * repeats > rules.max_repeat_percent * n)
     inside = []
     for k, (lang, script) in enumerate(zip(langs, scripts, strict=True)):
@@ -118,7 +120,7 @@ def score(documents: DataFrame, rules: FertilityRules) -> DataFrame:
             columns = judged(block, part.column("lang").to_pylist(), rules)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(columns[x]) for x in names[1:])], names=names)
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(of, SCHEMA)
+    return small_batches(documents).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(of, SCHEMA)
 
 
 def keep(documents: DataFrame, rules: FertilityRules) -> DataFrame:
@@ -128,4 +130,4 @@ def keep(documents: DataFrame, rules: FertilityRules) -> DataFrame:
         for part, block in blocks(batches, size=wordpieces.WORD_BLOCK):
             yield part.filter(pa.array(judged(block, part.column("lang").to_pylist(), rules)["kept"]))
 
-    return documents.mapInArrow(of, documents.schema)
+    return small_batches(documents).mapInArrow(of, documents.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.shared import cut
+from weft.llm.shared import cut, small_batches
 from weft.llm.stats import base_stats, doc_of, lines
 from weft.llm.textblock import Block, blocks
 
@@ -88,7 +88,7 @@ def described(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c) for c in table.T)], names=["doc_id", *STATISTICS])
 
     schema = "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS)
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(of, schema)
+    return small_batches(documents).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(of, schema)
 
 
 # Learning, on the driver.

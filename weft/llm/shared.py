@@ -15,6 +15,19 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Rows and bytes of a batch that Spark hands to Python at once.
+BATCH_ROWS, BATCH_BYTES = 250, 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session hands texts to Python in batches that bound a worker's memory."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read from there: computed once, and independent of lost executors."""
     shared_folder(df.sparkSession)

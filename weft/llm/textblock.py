@@ -7,10 +7,12 @@ holds about ``BLOCK_BYTES`` or one longer document.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 #: A random odd-ish 64-bit value for each byte, and the base of the prefix polynomial with its inverse mod 2**64.
@@ -117,6 +119,19 @@ class Block:
             at = to
         return tuple(np.concatenate([p[k] for p in parts] or [np.zeros(0, (np.int64, np.int64, np.uint64)[k])]) for k in range(3))
 
+    def split(self, size: int = BLOCK_BYTES):
+        """Blocks of some of the documents, with their words."""
+        start, end, code, first = self.words
+        at = 0
+        while at < self.n:
+            to = int(np.searchsorted(self.bounds, self.bounds[at] + size, side="right")) - 1
+            to = min(max(to, at + 1), self.n)
+            base, a, z = self.bounds[at], first[at], first[to]
+            part = Block(self.data[base : self.bounds[to]], self.bounds[at : to + 1] - base)
+            part._words = start[a:z] - base, end[a:z] - base, code[a:z], first[at : to + 1] - a
+            yield part
+            at = to
+
     def per_doc(self, flags: np.ndarray) -> np.ndarray:
         """How many set flags (one for each byte) each document has."""
         total = np.zeros(len(flags) + 1, dtype=np.int64)
@@ -125,18 +140,40 @@ class Block:
 
 
 def blocks(batches, column: str = "text", size: int = BLOCK_BYTES):
-    """(slice of the batch, Block of its texts) for slices of about ``size`` bytes of text."""
+    """(rows, Block of their texts) for about ``size`` bytes of text at a time: batches are gathered, or cut, for that."""
+    waiting, held = [], 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
         texts = batch.column(column)
-        whole = Block.of(texts)
-        at, bounds = 0, whole.bounds
-        while at < whole.n:
-            to = int(np.searchsorted(bounds, bounds[at] + size, side="right")) - 1
-            to = min(max(to, at + 1), whole.n)
-            yield batch.slice(at, to - at), Block(whole.data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at])
-            at = to
+        if held and held + texts.nbytes > size:
+            yield from _cut(waiting, column, size)
+            waiting, held = [], 0
+        waiting.append(batch)
+        held += texts.nbytes
+    yield from _cut(waiting, column, size)
+    waiting.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory goes back to the system: a worker keeps waiting for its next task with what it holds."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def _cut(batches: list[pa.RecordBatch], column: str, size: int):
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    batch = batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+    whole = Block.of(batch.column(column))
+    at, bounds = 0, whole.bounds
+    while at < whole.n:
+        to = int(np.searchsorted(bounds, bounds[at] + size, side="right")) - 1
+        to = min(max(to, at + 1), whole.n)
+        yield batch.slice(at, to - at), Block(whole.data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at])
+        at = to
 
 
 def window_hash(code: np.ndarray, width: int) -> np.ndarray:

@@ -14,9 +14,9 @@ import pandas as pd
 from weft.llm.textblock import Block, word_bounds
 
 #: A worker keeps at most so many words, those that a block has KEEP_FROM times or more (time, never results, depends on it).
-CACHE_WORDS, KEEP_FROM = 200_000, 3
+CACHE_WORDS, KEEP_FROM = 60_000, 6
 #: Bytes of text that are looked at together: the more, the fewer distinct words a byte.
-WORD_BLOCK = 6 << 20
+WORD_BLOCK = 4 << 20
 
 _loaded: dict[tuple[str, str], "Pieces"] = {}
 
