@@ -37,8 +37,9 @@ def test_near_copies_in_numbers(spark):
         for k in rng.integers(0, 300, rng.integers(0, 6)):
             text[k] = str(rng.integers(0, 40))
         rows.append((i, " ".join(text[int(rng.integers(0, 60)) :])))
-    got = recompression.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in got) == brute(rows)
+    for hot in (4096, 0, 3):
+        got = recompression.dedup(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()
+        assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in got) == brute(rows)
 
 
 def test_empty_table(empty):

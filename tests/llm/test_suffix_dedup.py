@@ -43,8 +43,9 @@ def test_near_copies_in_numbers(spark):
         for k in rng.integers(0, 700, rng.integers(0, 6)):
             text[k] = chr(int(rng.integers(97, 101)))
         rows.append((i, "".join(text)[int(rng.integers(0, 99)) :]))
-    got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == brute(rows)
+    for hot in (4096, 0, 3):
+        got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == brute(rows)
 
 
 def test_empty_table(empty):

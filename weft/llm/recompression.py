@@ -120,6 +120,11 @@ class WordWindows:
         content = mix(span_hash(prefix, a, z + width - 1) + ((z - a) * 4096 + offset).astype(np.uint64) * _SIDE)
         return Runs(name[edge] & ~np.uint64(1), words_of[a], a, z, offset, content)
 
+    def window_names(self, block: Block, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A name for each window by its words alone, and a key that tells it from others."""
+        code = span_hash(prefix_hash(block.words[2]), start, start + self.width)
+        return mix(code + _PAIR), mix(code)
+
     def many(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         return np.diff(np.append(at, len(ids))) > 1
 
@@ -166,7 +171,7 @@ class WordWindows:
         return times[where] > 1
 
 
-def dedup(documents: DataFrame, width: int = 35) -> DataFrame:
+def dedup(documents: DataFrame, width: int = 35, hot: int = 4096) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by one space, for every document."""
 
     def finish(rows, block: Block, starts: np.ndarray) -> dict:
@@ -184,4 +189,4 @@ def dedup(documents: DataFrame, width: int = 35) -> DataFrame:
         removed = np.diff(first) - np.diff(kept)
         return {"doc_id": rows.column("doc_id"), "n_words": np.diff(first), "n_removed": removed, "kept": pa.array([raw[x : max(y - 1, x)] for x, y in zip(cut, cut[1:])], pa.binary())}
 
-    return find(WordWindows(width), documents, finish, "doc_id long, n_words long, n_removed long, kept string")
+    return find(WordWindows(width), documents, finish, "doc_id long, n_words long, n_removed long, kept string", hot)

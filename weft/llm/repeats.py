@@ -8,6 +8,9 @@ windows choose the same anchor at the same place.  Consecutive windows with one
 3. A bucket settles each name.  Where all runs are the same, the totals decide; else the windows are told apart.
 4. Each part reads off which windows of its documents repeat.
 
+A name with very many different runs (a passage that is common in ever different surroundings) would gather them all in
+one bucket.  Its runs are taken apart into windows, each with a name of its own, which spreads them.
+
 Names and runs travel as packed arrays, one row a part and bucket, and the answers as one bit each.  A group of copies,
 however large, is one entry for each part.  Documents are dealt once; all passes read the same exchange.
 """
@@ -21,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.shared import small_batches
 from weft.llm.textblock import Block
 
 ROWS = "bucket int, part int, kind int, a binary, b binary, c binary, d binary, e binary, size long"
@@ -76,8 +80,10 @@ def groups(key: np.ndarray) -> np.ndarray:
 class Repeats:
     """``windows`` finds runs and settles names; ``parts`` and ``buckets`` are how many of each there are."""
 
-    def __init__(self, windows, parts: int):
-        self.windows, self.parts, self.buckets = windows, parts, max(24, parts // 3)
+    def __init__(self, windows, parts: int, hot: int = 4096):
+        self.windows, self.parts, self.buckets = windows, parts, max(24, parts // 2)
+        #: Different runs of a name above which it is taken apart. One run that every part has counts ``parts`` times.
+        self.hot = max(hot, 2 * parts) if hot >= 4096 else hot
 
     def bucket(self, name: np.ndarray) -> np.ndarray:
         return ((name >> np.uint64(40)) * np.uint64(self.buckets) >> np.uint64(24)).astype(np.int64)
@@ -85,26 +91,32 @@ class Repeats:
     # Pass 1
 
     def listed(self, table: pa.Table):
-        """The part's blocks with their runs and ids, its distinct names, and which of these repeat within the part."""
+        """The part's blocks with their runs and ids, its distinct names, which of these repeat within the part, and how
+        many different runs each has there (up to 255)."""
         found = []
         for rows, block in parts_of(table):
             runs = self.windows.runs(block, rows.column("doc_id"))
             found.append((rows, block, runs, self.windows.ids(rows)))
         name = np.concatenate([r.name for _, _, r, _ in found] or [np.zeros(0, np.uint64)])
         ids = np.concatenate([i[r.doc] for _, _, r, i in found] or [np.zeros(0, np.int64)])
-        order = np.argsort(name, kind="stable")
-        name, ids = name[order], ids[order]
+        key = np.concatenate([r.key for _, _, r, _ in found] or [np.zeros(0, np.uint64)])
+        order = np.lexsort((key, name))
+        name, ids, key = name[order], ids[order], key[order]
         at = groups(name)
-        return found, name[at], self.windows.many(ids, at)
+        new = np.ones(len(name), dtype=np.int64)
+        new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+        different = np.add.reduceat(new, at) if len(at) else new
+        return found, name[at], self.windows.many(ids, at), np.minimum(different, 255).astype(np.uint8)
 
     def names(self, table: pa.Table) -> pa.Table:
-        _, name, many = self.listed(table)
+        _, name, many, different = self.listed(table)
         part = table.column("part")[0].as_py()
-        return pa.Table.from_pylist(packed(part, self.bucket(name), 0, self.buckets, name | many.astype(np.uint64)), schema=ARROW)
+        return pa.Table.from_pylist(packed(part, self.bucket(name), 0, self.buckets, name | many.astype(np.uint64), different), schema=ARROW)
 
     def mark(self, table: pa.Table) -> pa.Table:
-        """For each part's names of this bucket: one bit, whether the name is in another part too or repeats within."""
-        rows = table.select(["part", "a"]).to_pylist()
+        """For each part's names of this bucket two bits: whether the name is in another part too or repeats within, and
+        whether it is to be taken apart."""
+        rows = table.select(["part", "a", "b"]).to_pylist()
         every = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in rows])
         name, many = every >> np.uint64(1), (every & np.uint64(1)).astype(bool)
         order = np.argsort(name, kind="stable")
@@ -112,31 +124,38 @@ class Repeats:
         count = np.diff(np.append(at, len(name)))
         shared = np.empty(len(name), dtype=bool)
         shared[order] = np.repeat((count > 1) | np.bitwise_or.reduceat(many[order], at), count)
+        different = np.frombuffer(b"".join(r["b"] for r in rows), np.uint8).astype(np.int64)
+        apart = np.empty(len(name), dtype=bool)
+        apart[order] = np.repeat(np.add.reduceat(different[order], at) > self.hot, count)
         out, k, bucket = [], 0, table.column("bucket")[0].as_py()
         for r in rows:
             n = len(r["a"]) // 8
-            out.append({"bucket": bucket, "part": r["part"], "kind": 1, "a": np.packbits(shared[k : k + n]).tobytes(), "size": n})
+            out.append({"bucket": bucket, "part": r["part"], "kind": 1, "a": np.packbits(shared[k : k + n]).tobytes(), "b": np.packbits(apart[k : k + n]).tobytes(), "size": n})
             k += n
         return pa.Table.from_pylist(out, schema=ARROW)
 
     # Pass 2
 
     @staticmethod
-    def bits(answers: pa.Table, kind: int) -> np.ndarray:
+    def bits(answers: pa.Table, kind: int, column: str = "a") -> np.ndarray:
         """The answers to what a part sent, in bucket order."""
         rows = sorted((r for r in answers.to_pylist() if r["kind"] == kind), key=lambda r: r["bucket"])
-        return np.concatenate([np.unpackbits(np.frombuffer(r["a"], np.uint8))[: r["size"]] for r in rows] or [np.zeros(0, np.uint8)]).astype(bool)
+        return np.concatenate([np.unpackbits(np.frombuffer(r[column], np.uint8))[: r["size"]] for r in rows] or [np.zeros(0, np.uint8)]).astype(bool)
 
-    def classes(self, found, name: np.ndarray, shared: np.ndarray):
+    def classes(self, found, name: np.ndarray, shared: np.ndarray, apart: np.ndarray):
         """The distinct runs under shared names, by name and key: where each was found first, its statistic; and each found run's class."""
         kept, which, ids = [], [], []
-        for k, (_, _, runs, doc_ids) in enumerate(found):
-            mine = np.flatnonzero(shared[np.searchsorted(name, runs.name)]) if len(name) else np.zeros(0, np.int64)
-            kept.append(runs.take(mine))
-            which.append(np.stack([np.full(len(mine), k), mine]))
-            ids.append(doc_ids[runs.doc[mine]])
+        for k, (_, block, runs, doc_ids) in enumerate(found):
+            at = np.searchsorted(name, runs.name)
+            mine = runs.take(np.flatnonzero(shared[at] & ~apart[at]) if len(name) else at)
+            if len(name) and (split := np.flatnonzero(shared[at] & apart[at])).size:
+                single = self.singles(block, runs.take(split))
+                mine = Runs(*(np.concatenate(x) for x in zip(vars(mine).values(), vars(single).values(), strict=True)))
+            kept.append(mine)
+            which.append(np.full(len(mine.name), k))
+            ids.append(doc_ids[mine.doc])
         runs = Runs(*(np.concatenate([vars(r)[x] for r in kept] or [np.zeros(0, np.int64)]) for x in ("name", "doc", "start", "end", "anchor", "key")))
-        which, ids = np.concatenate(which or [np.zeros((2, 0), np.int64)], axis=1), np.concatenate(ids or [np.zeros(0, np.int64)])
+        which, ids = np.concatenate(which or [np.zeros(0, np.int64)]), np.concatenate(ids or [np.zeros(0, np.int64)])
         order = np.lexsort((runs.key, runs.name))
         n, key = runs.name[order], runs.key[order]
         at = np.flatnonzero(np.concatenate([[True], (n[1:] != n[:-1]) | (key[1:] != key[:-1])])) if len(n) else np.zeros(0, np.int64)
@@ -145,22 +164,29 @@ class Repeats:
         first = order[at]
         return runs, which, number, first, self.windows.statistic(ids[order], at), ids
 
+    def singles(self, block: Block, runs: Runs) -> Runs:
+        """Each window of the runs as a run with a name of its own."""
+        n = runs.end - runs.start
+        start = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(runs.start, n)
+        name, key = self.windows.window_names(block, start)
+        return Runs(name & ~np.uint64(1), np.repeat(runs.doc, n), start, start + 1, np.zeros(len(start), np.int64), key)
+
     def send(self, table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return ARROW.empty_table()
         part = table.column("part")[0].as_py()
-        found, name, _ = self.listed(table)
-        shared = self.bits(answers, 1)
-        runs, which, _, first, statistic, _ = self.classes(found, name, shared)
+        found, name, _, _ = self.listed(table)
+        shared, apart = self.bits(answers, 1), self.bits(answers, 1, "b")
+        runs, which, _, first, statistic, _ = self.classes(found, name, shared, apart)
         one = runs.take(first)
-        out = [{"bucket": part % self.buckets, "part": part, "kind": 3, "a": np.packbits(shared).tobytes(), "size": len(shared)}]
+        out = [{"bucket": part % self.buckets, "part": part, "kind": 3, "a": np.packbits(shared).tobytes(), "b": np.packbits(apart).tobytes(), "size": len(shared)}]
         edge = np.searchsorted(self.bucket(one.name), np.arange(self.buckets + 1))
-        where = which[:, first]
+        where = which[first]
         for k in np.flatnonzero(np.diff(edge)).tolist():
             s = slice(edge[k], edge[k + 1])
             head = np.stack([one.name[s], one.key[s]]).tobytes()
             shape = np.stack([one.end[s] - one.start[s], one.anchor[s]]).astype(np.uint16).tobytes()
-            load = self.windows.load([(found[w][1], a, z) for w, a, z in zip(where[0, s].tolist(), one.start[s].tolist(), one.end[s].tolist(), strict=True)])
+            load = self.windows.load([(found[w][1], a, z) for w, a, z in zip(where[s].tolist(), one.start[s].tolist(), one.end[s].tolist(), strict=True)])
             out.append({"bucket": k, "part": part, "kind": 2, "a": head, "b": statistic[s].tobytes(), "c": shape, "d": pa.compress(load, codec="zstd", asbytes=True), "size": len(load)})
         return pa.Table.from_pylist(out, schema=ARROW)
 
@@ -189,15 +215,15 @@ class Repeats:
 
     def repeated(self, table: pa.Table, answers: pa.Table):
         """For each block of the part: its rows, the block, and the window starts that repeat."""
-        found, name, _ = self.listed(table)
-        runs, which, number, first, statistic, ids = self.classes(found, name, self.bits(answers, 3))
+        found, name, _, _ = self.listed(table)
+        runs, which, number, first, statistic, ids = self.classes(found, name, self.bits(answers, 3), self.bits(answers, 3, "b"))
         flags = self.bits(answers, 2)
         length = (runs.end - runs.start)[first]
         begin = np.cumsum(length) - length
         n = runs.end - runs.start
         window = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         hit = flags[np.repeat(begin[number], n) + window] | np.repeat(self.windows.within(ids, statistic[number]), n)
-        starts, block_of = np.repeat(runs.start, n)[hit] + window[hit], np.repeat(which[0], n)[hit]
+        starts, block_of = np.repeat(runs.start, n)[hit] + window[hit], np.repeat(which, n)[hit]
         for k, (rows, block, _, _) in enumerate(found):
             yield rows, block, starts[block_of == k]
 
@@ -210,15 +236,15 @@ class Repeats:
 TYPES = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
 
 
-def find(windows, documents: DataFrame, finish, schema: str) -> DataFrame:
+def find(windows, documents: DataFrame, finish, schema: str, hot: int = 4096) -> DataFrame:
     """``finish(rows, block, starts)`` gives the columns of ``schema`` for a block of documents and its repeated windows."""
     size = table_bytes(documents) / PART_BYTES
     # Part sizes grow slowly once there are very many, so that rows (parts x buckets) stay few for each name.
-    every = Repeats(windows, int(max(48, min(size, size**0.5 * 200))))
+    every = Repeats(windows, int(max(48, min(size, size**0.5 * 200))), hot)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(every.parts)).cast("int").alias("part")
     tasks = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), every.parts // 8)
-    dealt = documents.select(F.col("doc_id").cast("long"), text).select("doc_id", "text", part).repartition(tasks, "part").groupBy("part")
+    dealt = small_batches(documents).select(F.col("doc_id").cast("long"), text).select("doc_id", "text", part).repartition(tasks, "part").groupBy("part")
     arrow = pa.schema([(n, TYPES[kind]) for n, kind in map(str.split, schema.split(", "))])
     # Plain functions: Spark counts a method's self among the arguments.
     marked = dealt.applyInArrow(lambda table: every.names(table), ROWS).groupBy("bucket").applyInArrow(lambda table: every.mark(table), ROWS)

@@ -75,6 +75,12 @@ class ByteWindows:
         doc = np.searchsorted(block.bounds, start, side="right") - 1
         return Runs(mix(code[anchor]) & ~np.uint64(1), doc, start, end, anchor - start, key)
 
+    def window_names(self, block: Block, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A name for each window by its bytes alone, and a key that tells it from others."""
+        prefix = prefix_hash(BYTE_CODE[block.data])
+        code = span_hash(prefix, start, start + self.width)
+        return mix(code + np.uint64(0xA24BAED4963EE407)), mix(code)
+
     def many(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         return np.minimum.reduceat(ids, at) < np.maximum.reduceat(ids, at) if len(at) else np.zeros(0, bool)
 
@@ -124,7 +130,7 @@ class ByteWindows:
         return window_least[at] < np.repeat(smallest, length)
 
 
-def dedup(documents: DataFrame, width: int = 50) -> DataFrame:
+def dedup(documents: DataFrame, width: int = 50, hot: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and what is kept (binary) of every document."""
 
     def finish(rows, block: Block, starts: np.ndarray) -> dict:
@@ -140,4 +146,4 @@ def dedup(documents: DataFrame, width: int = 50) -> DataFrame:
             "kept": [kept[a:b] for a, b in zip(end, end[1:])],
         }
 
-    return find(ByteWindows(width), documents, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return find(ByteWindows(width), documents, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", hot)
