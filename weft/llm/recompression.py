@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from weft.llm.repeats import Runs, find, groups
-from weft.llm.textblock import Block, covered, mix, prefix_hash, span_hash, window_starts
+from weft.llm.textblock import Block, covered, mix, prefix_hash, span_hash, window_hash, window_starts
 
 _RUN, _PAIR, _SIDE = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
@@ -110,7 +110,8 @@ class WordWindows:
         key = (mix(symbol) & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(symbol), dtype=np.uint64)
         name, anchor = np.empty(len(start), dtype=np.uint64), np.empty(len(start), dtype=np.int64)
         best = (_least(key, low[some], high[some]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        name[some], anchor[some] = mix(symbol[best]), begin[best]
+        # Not the hash that was minimised, whose small values would crowd the first buckets.
+        name[some], anchor[some] = mix(symbol[best] + _SIDE), begin[best]
         prefix = prefix_hash(code)
         name[~some] = mix(span_hash(prefix, start[~some], start[~some] + width) + _RUN)
         anchor[~some] = -1 - start[~some]  # a window of its own
@@ -136,13 +137,19 @@ class WordWindows:
 
     def load(self, spans) -> bytes:
         """A second fingerprint of each window, independent of the names."""
+        prints: dict[int, np.ndarray] = {}
         out = []
         for block, a, z in spans:
-            code = mix(block.words[2][a : z + self.width - 1] ^ _PAIR)
-            prefix = prefix_hash(code)
-            at = np.arange(z - a)
-            out.append(mix(span_hash(prefix, at, at + self.width)).tobytes())
-        return b"".join(out)
+            if id(block) not in prints:
+                prints[id(block)] = self._prints(block)
+            out.append(prints[id(block)][a:z])
+        return np.concatenate(out).tobytes()
+
+    def _prints(self, block: Block) -> np.ndarray:
+        """The fingerprint of the window from each word on, worked out once for a block."""
+        if getattr(block, "prints", None) is None:
+            block.prints = window_hash(mix(block.words[2] ^ _PAIR), self.width)
+        return block.prints
 
     def settle(self, name, key, count, length, anchor, load) -> np.ndarray:
         window = load.view(np.uint64)
