@@ -40,7 +40,7 @@ def test_results_are_those_of_scoring_all(spark, rows):
     queries = docs.filter("doc_id % 3 = 0 or doc_id is null")
     want = brute([e[:2] for e in every], [e[:2] for e in every if e[0] is None or e[0] % 3 == 0])
     same(top_k.search(docs, queries).collect(), want)
-    same(top_k.search(docs, queries, Search(round_terms=300, index=16, block=2, frequent=0.3)).collect(), want)
+    same(top_k.search(docs, queries, Search(round_terms=300, round_queries=5, index=16, block=2, frequent=0.3, columns=7)).collect(), want)
     same(top_k.search(docs.drop("lang").repartition(7), queries, Search(index=5, block=3, frequent=2.0)).collect(), want)
 
 

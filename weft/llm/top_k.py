@@ -11,7 +11,8 @@ that can't reach the query's current k-th score, which carries over from index t
 scored exactly.  A shard's best k are merged with those of the other shards; nothing that could be among the best is
 dropped, ties included: score (rounded to six decimals), then doc_id.
 
-Queries are worked off in rounds of at most ``round_terms`` words, which bounds what is broadcast.
+Queries are worked off in rounds of at most ``round_terms`` words and ``round_queries`` queries, which bounds what is
+broadcast and what a task holds.
 
 Defined results.  A null or empty text matches nothing: as a query it has no row, as a document it is in no result.
 Documents with a null doc_id count in the statistics but are neither found nor queries.  Repeated rows are found each
@@ -45,11 +46,14 @@ class Search:
     b: float = 0.75
     #: Words of queries in a round, at most (one query more at the end); 8 bytes each are broadcast, and 4 for each distinct.
     round_terms: int = 2_000_000
+    #: Queries in a round, at most.
+    round_queries: int = 8192
     #: Documents of an index, and of a block.
     index: int = 4096
     block: int = 64
-    #: A word that this share of the documents or more have is kept as a column.
+    #: A word that this share of the documents or more have is kept as a column, the most frequent ones if there are many.
     frequent: float = 0.03
+    columns: int = 4096
 
 
 @dataclass
@@ -87,7 +91,7 @@ def query_rounds(queries: DataFrame, how: Search):
             ids.append(row.doc_id)
             words.append(np.frombuffer(row.words, np.uint64))
             size += len(words[-1])
-            if size >= how.round_terms:
+            if size >= how.round_terms or len(ids) >= how.round_queries:
                 yield packed_round(ids, words)
                 ids, words, size = [], [], 0
     if ids:
@@ -162,6 +166,7 @@ class Scorer:
         self.idf = np.log1p((n - counts + 0.5) / (counts + 0.5))
         self.mean = length / max(n, 1)
         often = np.flatnonzero(counts >= max(2, how.frequent * n))
+        often = often[np.argsort(-counts[often], kind="stable")[: how.columns]]
         self.column = np.full(len(counts), -1, dtype=np.int32)
         self.column[often] = np.arange(len(often))
         self.columns = len(often)
