@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from weft.errors import PlanError
-from weft.operators.compiler import Compiler, Options, Scope
+from weft.operators.compiler import Compiler, Options
 from weft.operators.relation import Relation
 from weft.plans import graph as g
 from weft.plans import model as m
@@ -141,4 +141,4 @@ def outer_joins(session: g.Session, node: int) -> list[tuple[int, str]]:
     return out
 
 
-__all__ = ["Runner", "SchemaColumn", "Scope", "outer_joins", "plan_shape"]
+__all__ = ["Runner", "SchemaColumn", "outer_joins", "plan_shape"]
