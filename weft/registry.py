@@ -169,6 +169,19 @@ for kind, sql in _JOINS.items():
             lambda t, k=kind, a=algorithm: join(k, a, where(t.customer("c"), cmp("c.c_custkey", "<", 400)), where(t.orders("o"), cmp("o.o_custkey", ">", 200)), ("c.c_custkey", "o.o_custkey")),
             sql,
         )
+
+# The same joins over the whole tables, and over parts by columns that are no ids, which leave unmatched rows on both sides.
+for label, some, late, conditions in (
+    ("whole", "customer c", "orders o", ((), ())),
+    ("unmatched", "(SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') c", "(SELECT * FROM orders WHERE o_orderstatus = 'F') o", ((cmp("c.c_mktsegment", "!=", "BUILDING"),), (cmp("o.o_orderstatus", "=", "F"),))),
+):
+    for kind, sql in _JOINS.items():
+        for algorithm in m.ALGORITHMS:
+            add(
+                f"join_{label}_{kind.lower()}_{algorithm.lower()}",
+                lambda t, k=kind, a=algorithm, c=conditions: join(k, a, *[where(q, *only) if only else q for q, only in zip((t.customer("c"), t.orders("o")), c, strict=True)], ("c.c_custkey", "o.o_custkey")),
+                sql.replace(_SOME, some).replace(_LATE, late),
+            )
 add(
     "join_two_terms",
     lambda t: join("INNER", "HASH", project(t.customer("c"), "c.c_custkey", "c.c_nationkey"), t.supplier("s"), ("c.c_nationkey", "s.s_nationkey"), ("c.c_custkey", "s.s_suppkey")),
