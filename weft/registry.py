@@ -210,6 +210,22 @@ add(
     f"{a} UNION ALL SELECT * FROM {b} WHERE (c_nationkey, c_mktsegment) NOT IN {a}",
     options=Options(bag_union=True),
 )
+# The same set operations over whole columns with repeated values; every user_id is some o_custkey, not the other way round.
+keys, users = "(SELECT o_custkey FROM orders)", "(SELECT user_id FROM events)"
+own = lambda t: project(t.orders("o"), "o.o_custkey")
+user = lambda t: project(t.events("e"), "e.user_id")
+for hashed in (True, False):
+    name = "hash" if hashed else "sorted"
+    add(f"set_whole_union_{name}", lambda t, h=hashed, l=user, r=own: op(m.SetOpNode("UNION", h, "u"), l(t), r(t)), f"{users} UNION {keys}")
+    for kind, word in (("INTERSECT", "IN"), ("EXCEPT", "NOT IN")):
+        add(f"set_whole_{kind.lower()}_{name}", lambda t, h=hashed, k=kind, l=own, r=user: op(m.SetOpNode(k, h), l(t), r(t)), f"SELECT * FROM {keys} WHERE o_custkey {word} {users}")
+add("set_whole_append", lambda t, l=user, r=own: op(m.SetOpNode("APPEND", False, "u"), l(t), r(t)), f"{users} UNION ALL {keys}")
+add(
+    "set_whole_union_bag",
+    lambda t, l=user, r=own: op(m.SetOpNode("UNION", True, "u"), l(t), r(t)),
+    f"{users} UNION ALL SELECT * FROM {keys} WHERE o_custkey NOT IN {users}",
+    options=Options(bag_union=True),
+)
 add("exists_unilateral", lambda t: op(m.ExistsNode(False), sort(t.region("r"), "r.r_name"), t.nation("n")), "SELECT *, NULL::INTEGER AS n_nationkey, NULL::VARCHAR AS n_name, NULL::INTEGER AS n_regionkey FROM (SELECT * FROM region ORDER BY r_name LIMIT 1)")
 add("exists_bilateral", lambda t: op(m.ExistsNode(True), sort(t.region("r"), "r.r_name"), sort(t.nation("n"), "n.n_nationkey", up=False)), "SELECT * FROM (SELECT * FROM region ORDER BY r_name LIMIT 1) CROSS JOIN (SELECT * FROM nation ORDER BY n_nationkey DESC LIMIT 1)")
 for kind, sign in (("AND", "AND"), ("OR", "OR"), ("XOR", "<>")):
