@@ -38,3 +38,8 @@ def test_set_operations_read_whole_columns(spark):
         assert counts(spark, f"set_whole_union_{name}") == customers
         assert counts(spark, f"set_whole_intersect_{name}") == inside and min(inside) > 0
         assert counts(spark, f"set_whole_except_{name}") == [a - b for a, b in zip(orders, inside, strict=True)] and inside[0] < orders[0]
+
+
+def test_filter_and_rename_read_whole_tables(spark):
+    assert counts(spark, "filter_is_not_null_whole") == sizes("events WHERE props IS NOT NULL")
+    assert counts(spark, "rename_source_whole") == sizes("customer")

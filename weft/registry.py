@@ -107,10 +107,12 @@ add(
 )
 add("filter_is_null", lambda t: op(m.FilterNode(m.IsNull("e.props")), t.events("e")), "SELECT * FROM events WHERE props IS NULL")
 add("filter_is_not_null", lambda t: op(m.FilterNode(m.And((m.IsNotNull("e.props"), cmp("e.event_id", "<", 50)))), t.events("e")), "SELECT * FROM events WHERE props IS NOT NULL AND event_id < 50")
+add("filter_is_not_null_whole", lambda t: op(m.FilterNode(m.IsNotNull("e.props")), t.events("e")), "SELECT * FROM events WHERE props IS NOT NULL")
 add("filter_column_column", lambda t: where(t.lineitem("l"), cmp("l.l_discount", ">", ref("l.l_tax"))), "SELECT * FROM lineitem WHERE l_discount > l_tax")
 add("project", lambda t: project(t.customer("c"), "c.c_mktsegment", "c.c_name"), "SELECT c_mktsegment, c_name FROM customer")
 add("drop_columns", lambda t: op(m.RemoveColumnsNode(("c.c_name", "c.c_acctbal"), "P"), t.customer("c")), "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer")
 add("rename_source", lambda t: where(op(m.AliasNode("c", "x"), t.customer("c")), cmp("x.c_custkey", "<", 100)), "SELECT * FROM customer WHERE c_custkey < 100")
+add("rename_source_whole", lambda t: sort(op(m.AliasNode("c", "x"), t.customer("c")), "x.c_acctbal"), "SELECT * FROM customer")
 add("rename_column", lambda t: op(m.AliasNode("r.r_name", "r.name"), t.region("r")), "SELECT r_regionkey, r_name AS name FROM region")
 add(
     "collapse",
