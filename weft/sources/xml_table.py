@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
+from urllib.parse import unquote
 
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +20,10 @@ from weft.errors import PlanError
 from weft.operators.relation import SPARK_TYPES
 from weft.plans import model as m
 
-_TAG = re.compile(r"<(/?)([A-Za-z_][\w.:-]*)([^<>]*?)(/?)>")
+# An attribute's value may hold ">", but no "<".
+_TAG = re.compile(r"""<(/?)([A-Za-z_][\w.:-]*)((?:"[^"<]*"|'[^'<]*'|[^<>"'])*?)(/?)>""")
+_UNFINISHED = re.compile(r"""</?(?:[A-Za-z_][\w.:-]*(?:"[^"<]*"|'[^'<]*'|[^<>"'])*(?:"[^"<]*|'[^'<]*)?)?\Z""")
+_SKIPPED = {"<!--": "-->", "<![CDATA[": "]]>", "<?": "?>"}
 
 
 def head(spark: SparkSession, path: str, size: int = 1 << 20) -> str:
@@ -33,10 +38,48 @@ def head(spark: SparkSession, path: str, size: int = 1 << 20) -> str:
     return re.sub(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>", "", text, flags=re.S)
 
 
+def lines(spark: SparkSession, path: str) -> Iterator[str]:
+    """All lines, one partition at a time; files of a folder by name."""
+    files = spark.read.text(path).inputFiles()
+    for file in [path] if len(files) == 1 else sorted(map(unquote, files)):
+        yield from (f"{r.value}\n" for r in spark.read.text(file).toLocalIterator())
+
+
+def tags(text: Iterable[str]) -> Iterator[tuple[str, str, str, str]]:
+    """The tags of a text in pieces, of which no more is held than what is not finished."""
+    held, until = "", None
+    for piece in text:
+        held, at = held + piece, 0
+        while True:
+            if until:
+                end = held.find(until, at)
+                if end < 0:
+                    at = max(at, len(held) - len(until) + 1)
+                    break
+                at, until = end + len(until), None
+            start = held.find("<", at)
+            if start < 0:
+                at = len(held)
+                break
+            opened = next((k for k in _SKIPPED if held.startswith(k, start)), None)
+            if opened:
+                at, until = start + len(opened), _SKIPPED[opened]
+            elif found := _TAG.match(held, start):
+                yield found.groups()
+                at = found.end()
+            elif _UNFINISHED.match(held, start) or any(k.startswith(held[start:]) for k in _SKIPPED):
+                at = start
+                break
+            else:
+                at = start + 1
+        held = held[at:]
+
+
 def record_element(spark: SparkSession, path: str) -> str:
-    """The most frequent child of the root, the first of those in a tie."""
+    """The most frequent child of the root in the whole file, the first of those in a tie."""
+    head(spark, path)
     depth, children = 0, Counter()
-    for closing, name, _, empty in _TAG.findall(head(spark, path)):
+    for closing, name, _, empty in tags(lines(spark, path)):
         if closing:
             depth -= 1
             continue
