@@ -53,3 +53,10 @@ def test_broken_markup_is_read_to_its_end():
 
 def test_empty_table(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_all_parts_of_an_article_stay(spark):
+    parts = "<{0}><header><h1>Head {1}</h1></header><div class='lead'><p>lead</p></div><div class='body'><p>a body that is longer {1}</p></div></{0}>"
+    rows = [(i, "http://d.example.com/", page(parts.format("main" if i % 2 else "article", i))) for i in range(4)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Head {i}\nlead\na body that is longer {i}" for i in range(4)}

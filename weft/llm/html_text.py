@@ -169,11 +169,19 @@ class Page:
         scores = self.scores()
         return max(scores, key=lambda k: (scores[k], self.tag[k] in ("article", "main"), -k), default=-1)
 
+    def whole(self, node: int) -> int:
+        """The nearest article or main around a container, which has all of a text's parts; else the container."""
+        around = node
+        while around >= 0 and self.tag[around] not in ("article", "main"):
+            around = self.parent[around]
+        return node if around < 0 else around
+
     def text_of(self, path: str | None = None, node: int = -1) -> str:
-        """The blocks in ``node``, or in every container with that path, without boilerplate below it."""
+        """The blocks of the article around ``node``, or around every container with that path, without boilerplate."""
+        tops = {self.whole(k) for k in range(len(self.tag)) if (k == node if path is None else self.path[k] == path)}
         inside: dict[int, bool] = {-1: False}
         for k in range(len(self.tag)):
-            inside[k] = inside[self.parent[k]] or (k == node if path is None else self.path[k] == path)
+            inside[k] = inside[self.parent[k]] or k in tops
         return "\n".join(words for k, words, _ in self.blocks if inside[k] and not self.boiler[k])
 
 
