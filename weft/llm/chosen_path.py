@@ -306,6 +306,10 @@ def join(documents: DataFrame, how: Join = Join()) -> DataFrame:
 
 
 def first_of_each(documents: DataFrame, how: Join = Join()) -> DataFrame:
-    """The documents without those whose class has a smaller doc_id. Columns stay; rows without a doc_id stay."""
+    """The documents without those whose class has a smaller doc_id. Columns stay; rows without a doc_id stay.
+
+    Rows that share the least doc_id of their class all stay, whether or not they are repeated, so that a class with such
+    rows or with rows without a doc_id keeps more than one.
+    """
     gone = join(documents, how).filter("class_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
     return documents.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
