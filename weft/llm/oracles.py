@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from weft.llm import secrets
+
 NEAR_DUPLICATES = r"""
 WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 shingles AS (
@@ -53,4 +55,32 @@ scored AS (
 SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 10
 """
 
-ORACLES = {"op4_chosen_path_join": NEAR_DUPLICATES, "op5_suffix_dedup": BYTE_REPEATS, "op8_recompression": WORD_REPEATS, "op10_top_k": TOP_K}
+def _secrets() -> str:
+    """Spans of each kind from the texts between its matches; DuckDB's expressions have no look-around and no possessive
+    loops, so that a jwt is matched with the character before it, which is then taken off."""
+    ours = {r.kind: r.pattern for r in secrets.RULES}
+    ours["pem"] = r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"
+    ours["jwt"] = r"(?:^|[^A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
+    group = {r.kind: (r.group, r.least) for r in secrets.RULES}
+    each = " UNION ALL ".join(
+        f"""SELECT doc_id, '{kind}' AS kind, {k} AS number, {1 if kind == "jwt" else 0} AS cut, {group[kind][1]} AS least,
+        list_transform(string_split_regex(t, '{p}'), lambda x: length(x)) AS gaps, regexp_extract_all(t, '{p}') AS found, list_transform(regexp_extract_all(t, '{p}', {group[kind][0]}), lambda x: length(x)) AS inner_
+        FROM d WHERE regexp_matches(t, '{p}')"""
+        for k, (kind, p) in enumerate((kind, pattern.replace("'", "''")) for kind, pattern in ours.items())
+    )
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+each AS ({each}),
+one AS (SELECT doc_id, kind, number, cut, least, unnest(range(1, len(found) + 1)) AS i, gaps, found, inner_ FROM each),
+at AS (SELECT *, list_sum(gaps[1 : i]) + coalesce(list_sum(list_transform(found[1 : i - 1], lambda x: length(x))), 0) AS a, found[i] AS m FROM one WHERE inner_[i] >= least),
+spans AS (SELECT doc_id, kind, number, (a + CASE WHEN cut = 1 AND m[1] <> 'e' THEN 1 ELSE 0 END)::BIGINT AS a, (a + length(m))::BIGINT AS z FROM at),
+listed AS (
+    SELECT doc_id, count(*) FILTER (WHERE number = 0) AS n_assign, count(*) FILTER (WHERE number = 1) AS n_access, count(*) FILTER (WHERE number = 2) AS n_hex,
+        string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, number) FILTER (WHERE number < 3) AS base, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, number) AS spans FROM spans GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN listed USING (doc_id)
+"""
+
+
+ORACLES = {"op4_chosen_path_join": NEAR_DUPLICATES, "op5_suffix_dedup": BYTE_REPEATS, "op8_recompression": WORD_REPEATS, "op9_secret_scans": _secrets(), "op10_top_k": TOP_K}

@@ -8,6 +8,7 @@ every text.  Letters are folded to lower case, as in the index.
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass
 
@@ -123,6 +124,7 @@ def _walk(tree) -> Part:
     return out
 
 
+@functools.cache
 def trigram_query(pattern: str, most: int = 4) -> Condition:
     """What must be in a text that matches; at most ``most`` trigrams of an alternative are kept, which only weakens it."""
     must = inexact(_walk(re._parser.parse(pattern))).must
