@@ -72,8 +72,8 @@ def _secrets() -> str:
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 each AS ({each}),
 one AS (SELECT doc_id, kind, number, cut, least, unnest(range(1, len(found) + 1)) AS i, gaps, found, inner_ FROM each),
-at AS (SELECT *, list_sum(gaps[1 : i]) + coalesce(list_sum(list_transform(found[1 : i - 1], lambda x: length(x))), 0) AS a, found[i] AS m FROM one WHERE inner_[i] >= least),
-spans AS (SELECT doc_id, kind, number, (a + CASE WHEN cut = 1 AND m[1] <> 'e' THEN 1 ELSE 0 END)::BIGINT AS a, (a + length(m))::BIGINT AS z FROM at),
+placed AS (SELECT *, list_sum(gaps[1 : i]) + coalesce(list_sum(list_transform(found[1 : i - 1], lambda x: length(x))), 0) AS a, found[i] AS m FROM one WHERE inner_[i] >= least),
+spans AS (SELECT doc_id, kind, number, (a + CASE WHEN cut = 1 AND m[1] <> 'e' THEN 1 ELSE 0 END)::BIGINT AS a, (a + length(m))::BIGINT AS z FROM placed),
 listed AS (
     SELECT doc_id, count(*) FILTER (WHERE number = 0) AS n_assign, count(*) FILTER (WHERE number = 1) AS n_access, count(*) FILTER (WHERE number = 2) AS n_hex,
         string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, number) FILTER (WHERE number < 3) AS base, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, number) AS spans FROM spans GROUP BY doc_id
