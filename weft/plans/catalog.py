@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import string
 import typing
 from dataclasses import dataclass
 
@@ -132,57 +133,64 @@ def catalog() -> dict:
     return {"categories": list(CATEGORIES), "types": kinds, "operators": chips, "placeholder": m.PLACEHOLDER}
 
 
-# Captions
-
+# Captions: for each kind of node the forms it may take. A form is for nodes that have all its fields other than by default;
+# the last is for all.
+
+CAPTIONS: dict[type[m.Node], tuple[str, ...]] = {
+    m.FilterNode: ("{condition}",),
+    m.ConditionNode: ("{condition}",),
+    m.ReferenceNode: ("{columns}",),
+    m.ProjectNode: ("{columns}",),
+    m.RemoveColumnsNode: ("{columns}",),
+    m.SortNode: ("{keys}",),
+    m.LimitNode: ("{count}, {offset}", "{count}"),
+    m.AliasNode: ("{from_} → {to}",),
+    m.ExplodeNode: ("{column}",),
+    m.RowNumberNode: ("{column} from {start}",),
+    m.AggNode: ("{by}: {aggregates}", "{aggregates}"),
+    m.JoinNode: ("{on}",),
+    m.SetOpNode: ("{kind_}",),
+    m.LogicalOpNode: ("{kind_}",),
+}
+# Signs of the comparisons.
 _SIGNS = {"EQ": "=", "NEQ": "≠", "GT": ">", "GTE": "≥", "LT": "<", "LTE": "≤"}
+#: How the values in fields are written.
+_WRITTEN = {
+    m.SortKey: lambda k: f"{k.column} {'ASC' if k.ascending else 'DESC'}",
+    m.Aggregate: lambda a: f"{a.function.lower()}({a.column})",
+    m.JoinTerm: lambda t: f"{t.left} = {t.right}",
+    m.Ref: lambda r: r.column,
+    m.Literal: lambda x: f"'{x.value}'" if x.tag == "str" else _written(x.value),
+    m.Comparison: lambda c: f"{c.left} {_SIGNS[c.op]} {_written(c.right)}",
+    m.IsNull: lambda c: f"{c.column} IS NULL",
+    m.IsNotNull: lambda c: f"{c.column} IS NOT NULL",
+    m.And: lambda c: _joined(c, " AND "),
+    m.Or: lambda c: _joined(c, " OR "),
+    tuple: lambda values: ", ".join(map(_written, values)),
+    bool: lambda x: "true" if x else "false",
+}
+
+
+def _written(value) -> str:
+    return _WRITTEN.get(type(value), str)(value)
+
 
+def _joined(condition: m.And | m.Or, word: str) -> str:
+    return word.join(f"({x})" if isinstance(c, m.And | m.Or) else x for c in condition.conditions for x in [_written(c)])
 
-def condition_text(condition: m.Condition) -> str:
-    def inner(c: m.Condition) -> str:
-        return f"({condition_text(c)})" if isinstance(c, m.And | m.Or) else condition_text(c)
 
-    match condition:
-        case m.Comparison(left=left, op=op, right=right):
-            shown = right.column if isinstance(right, m.Ref) else f"'{right.value}'" if right.tag == "str" else str(right.value).lower() if right.tag == "bool" else str(right.value)
-            return f"{left} {_SIGNS[op]} {shown}"
-        case m.IsNull(column=column):
-            return f"{column} IS NULL"
-        case m.IsNotNull(column=column):
-            return f"{column} IS NOT NULL"
-        case m.And(conditions=parts):
-            return " AND ".join(map(inner, parts))
-        case m.Or(conditions=parts):
-            return " OR ".join(map(inner, parts))
-    raise ValueError(condition)
+condition_text = _written
 
 
 def caption(session: g.Session, node: m.Node) -> str:
-    """What a node does, in one line."""
-    match node:
-        case m.TableNode(table=table):
-            return session.tables[table].name if table in session.tables else ""
-        case m.FilterNode(condition=c) | m.ConditionNode(condition=c):
-            return condition_text(c)
-        case m.ReferenceNode(columns=columns) | m.ProjectNode(columns=columns) | m.RemoveColumnsNode(columns=columns):
-            return ", ".join(columns)
-        case m.SortNode(keys=keys):
-            return ", ".join(f"{k.column} {'ASC' if k.ascending else 'DESC'}" for k in keys)
-        case m.LimitNode(count=count, offset=offset):
-            return f"{count}, {offset}" if offset else str(count)
-        case m.AliasNode(from_=old, to=new):
-            return f"{old} → {new}"
-        case m.ExplodeNode(column=column):
-            return column
-        case m.RowNumberNode(column=column, start=start):
-            return f"{column} from {start}"
-        case m.AggNode(by=by, aggregates=aggregates):
-            listed = ", ".join(f"{a.function.lower()}({a.column})" for a in aggregates)
-            return f"{by}: {listed}" if by else listed
-        case m.JoinNode(on=on):
-            return ", ".join(f"{t.left} = {t.right}" for t in on)
-        case m.SetOpNode(kind_=kind) | m.LogicalOpNode(kind_=kind):
-            return kind
-    return ""
+    """What a node does, in one line; for a table that it reads, its name."""
+    if isinstance(node, m.TableNode):
+        return getattr(session.tables.get(node.table), "name", "")
+    usual = {f.name: f.default for f in dataclasses.fields(node)}
+    for form in (forms := CAPTIONS.get(type(node), ("",))):
+        fields = {name: getattr(node, name) for _, name, _, _ in string.Formatter().parse(form) if name}
+        if form is forms[-1] or all(v not in (None, usual[name]) for name, v in fields.items()):
+            return form.format(**{name: _written(v) for name, v in fields.items()})
 
 
 # Renaming

@@ -6,6 +6,7 @@ Literals are tagged objects with one key: int, long, float, double, bool, str, o
 from __future__ import annotations
 
 import dataclasses
+import itertools
 import json
 import types
 import typing
@@ -77,7 +78,7 @@ def decode(kind, data):
         if len(options) == 1:
             return decode(options[0], data)
         return _tagged(data)
-    if kind is m.Node:
+    if kind in (m.Node, g.Command):
         return _tagged(data)
     if kind is m.MemoryTable:
         rows = tuple(tuple((k, None if v is None else literal(v)) for k, v in row.items()) for row in data.get("rows", []))
@@ -126,46 +127,66 @@ def command(data: dict) -> g.Command:
     return _tagged(data)
 
 
-def upgrade(version: int, data):
-    """JSON data of an older version as version 3 has it, from the leaves up."""
-    if isinstance(data, list):
-        return [upgrade(version, x) for x in data]
-    if not isinstance(data, dict):
-        return data
-    data = {k: upgrade(version, v) for k, v in data.items()}
-    kind = data.get("@type")
-    if kind == "scan" and version == 1 and "table" in data:
-        return data | {"@type": "table"}  # the first version called reading a table a scan
-    if kind == "join":
-        terms = [t | {side: _reference(t[side]) for side in ("left", "right")} for t in data.get("on", [])]
-        if not terms and data.get("algorithm", "NESTED_LOOP") != "NESTED_LOOP":
-            blank = f"{m.PLACEHOLDER}.{m.PLACEHOLDER}"  # hash and merge joins came to need a term
-            terms = [{"left": blank, "right": blank}]
-        return data | {"on": terms}
-    was_object = {"cmp": "left", "isNull": "column", "isNotNull": "column", "agg": "by"}.get(kind)
-    return data | {was_object: _reference(data[was_object])} if was_object in data else data
-
-
-def _reference(value):
-    """Older documents wrote a column as {source, name} or {source, column}."""
-    if not isinstance(value, dict):
-        return value
-    name = value["name"] if "name" in value else value["column"]
-    return name if value.get("source") is None else f"{value['source']}.{name}"
+# Older versions. Each step says for an object of some kind what it is in the next version.
+
+
+def _reads_a_table(node: dict) -> dict:
+    """The first version called a node that reads a table a scan; a scan without a table has always been one."""
+    return node | {"@type": "table"} if "table" in node else node
+
+
+def _as_text(column):
+    """A column was {source, name} or {source, column}; now it is 'source.name'."""
+    if isinstance(column, dict):
+        return ".".join(x for x in (column.get("source"), column.get("name", column.get("column"))) if x is not None)
+    return column
+
+
+def _text_at(*keys: str):
+    return lambda data: data | {k: _as_text(data[k]) for k in keys if k in data}
+
+
+def _with_terms(node: dict) -> dict:
+    """Columns of a join's terms became texts, and hash and merge joins came to need a term."""
+    blank = f"{m.PLACEHOLDER}.{m.PLACEHOLDER}"
+    needed = [] if node.get("algorithm", m.ALGORITHMS[0]) == m.ALGORITHMS[0] else [{"left": blank, "right": blank}]
+    return node | {"on": [_text_at("left", "right")(t) for t in node.get("on") or needed]}
+
+
+STEPS = {
+    1: {"scan": _reads_a_table},
+    2: {"cmp": _text_at("left"), "isNull": _text_at("column"), "isNotNull": _text_at("column"), "agg": _text_at("by"), "join": _with_terms},
+}
+
+
+def upgrade(step: dict, data):
+    """JSON data with a step taken for every object in it, the inner ones first."""
+    if isinstance(data, dict):
+        inner = {k: upgrade(step, v) for k, v in data.items()}
+        return step.get(inner.get("@type"), dict)(inner)
+    return [upgrade(step, x) for x in data] if isinstance(data, list) else data
 
 
 def dumps(editor: g.Editor) -> str:
-    """The document of an editor: its session with the steps to undo and to redo."""
-    steps = lambda pairs: [{"redo": encode(redo), "undo": encode(undo)} for redo, undo in pairs]
-    history = {"session": encode(editor.session), "undoStack": steps(editor.undo_steps), "redoStack": steps(editor.redo_steps)}
-    return json.dumps({"version": VERSION, "history": history}, ensure_ascii=False, indent=4)
+    """The document of an editor: its session with the steps to undo and to redo, each as the two commands between its sessions."""
+    step = lambda before, after: {"redo": encode(g.difference(before, after)), "undo": encode(g.difference(after, before))}
+    undo = [step(a, b) for a, b in itertools.pairwise((*editor.past, editor.session))]
+    redo = [step(b, a) for a, b in itertools.pairwise((*editor.future, editor.session))]
+    return json.dumps({"version": VERSION, "history": {"session": encode(editor.session), "undoStack": undo, "redoStack": redo}}, ensure_ascii=False, indent=4)
 
 
 def loads(text: str) -> g.Editor:
+    """The editor of a document; the sessions of its steps are worked out from the commands."""
     data = json.loads(text)
-    version = int(data.get("version", 1))
+    version, history = int(data.get("version", 1)), data["history"]
     if not 1 <= version <= VERSION:
         raise ValueError(f"unknown document version {version}")
-    history = data["history"] if version == VERSION else upgrade(version, data["history"])
-    steps = lambda name: tuple((command(x["redo"]), command(x["undo"])) for x in history.get(name, []))
-    return g.Editor(session(history["session"]), steps("undoStack"), steps("redoStack"))
+    for older in range(version, VERSION):
+        history = upgrade(STEPS[older], history)
+    now = session(history["session"])
+
+    def back(name: str, way: str) -> tuple[g.Session, ...]:
+        states = itertools.accumulate((command(x[way]) for x in reversed(history.get(name, []))), lambda s, c: c.on(s), initial=now)
+        return tuple(reversed(list(states)[1:]))
+
+    return g.Editor(now, back("undoStack", "undo"), back("redoStack", "redo"))

@@ -1,7 +1,12 @@
-"""A session: tables, operators and the edges between them; commands that change it, with their inverses."""
+"""A session: tables, operators and the edges between them; commands that change it, and its undo steps.
+
+A command makes a candidate; the candidate is then checked as a whole.  Undo steps are sessions, which share what did not
+change; documents store the commands between them.
+"""
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field, replace
 
 from weft.errors import EditError, PlanError
@@ -10,7 +15,7 @@ from weft.plans.model import AliasNode, Node, Table, TableNode, own_alias
 UNDO_LIMIT = 200
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, order=True)
 class Edge:
     from_: int
     to: int
@@ -19,13 +24,18 @@ class Edge:
 
 @dataclass(frozen=True)
 class Session:
+    """``edges`` are kept in order, so that sessions with the same edges are equal."""
+
     tables: dict[int, Table] = field(default_factory=dict)
     nodes: dict[int, Node] = field(default_factory=dict)
     edges: tuple[Edge, ...] = ()
     layout: dict[int, tuple[float, float]] = field(default_factory=dict)
 
+    def __post_init__(self):
+        object.__setattr__(self, "edges", tuple(sorted(self.edges)))
+
     def input_of(self, node: int, port: str) -> int | None:
-        return next((e.from_ for e in self.edges if e.to == node and e.port == port), None)
+        return next((e.from_ for e in self.edges if (e.to, e.port) == (node, port)), None)
 
 
 @dataclass(frozen=True)
@@ -34,243 +44,264 @@ class Problem:
     message: str
 
 
-# Commands
+# Reading a session
+
+
+def source_name(node: Node) -> str | None:
+    name = node.to if isinstance(node, AliasNode) else own_alias(node)
+    return name if name and name.strip() else None
+
+
+def neighbours(session: Session, up: bool, down: bool) -> dict[int, list[int]]:
+    """For each node those that feed it (up), those that it feeds (down), or both."""
+    out: dict[int, list[int]] = {}
+    for e in session.edges:
+        if up:
+            out.setdefault(e.to, []).append(e.from_)
+        if down:
+            out.setdefault(e.from_, []).append(e.to)
+    return out
+
+
+def walk(session: Session, start: int, up: bool = True, both: bool = False) -> list[int]:
+    """Nodes reached from ``start``, itself first: those that feed it, those that it feeds, or all connected ones."""
+    beside = neighbours(session, up or both, both or not up)
+    found = [start]
+    for here in found:  # grows while it is read
+        found += dict.fromkeys(n for n in beside.get(here, ()) if n not in found)
+    return found
+
+
+def trees(session: Session) -> list[list[int]]:
+    """The connected parts of the graph, each in ascending order."""
+    left, out = sorted(session.nodes), []
+    while left:
+        tree = set(walk(session, left[0], both=True))
+        out.append(sorted(tree & set(left)))
+        left = [n for n in left if n not in tree]
+    return out
+
+
+def roots(session: Session) -> list[int]:
+    return sorted(set(session.nodes) - {e.from_ for e in session.edges})
+
+
+def missing_inputs(session: Session) -> list[Problem]:
+    fed = {(e.to, e.port) for e in session.edges}
+    return [Problem(id_, f"input {p} is missing") for id_, n in sorted(session.nodes.items()) for p in n.ports if (id_, p) not in fed]
+
+
+def source_clashes(session: Session) -> list[Problem]:
+    """Nodes that name a source which an earlier node of the same tree names."""
+    out = []
+    for tree in trees(session):
+        first: dict[str, int] = {}
+        for id_ in tree:
+            name = source_name(session.nodes[id_])
+            if name and first.setdefault(name, id_) != id_:
+                out.append(Problem(id_, f"source '{name}' is named by node #{first[name]} of this tree already; rename one of the two first"))
+    return out
+
+
+# What holds for every session. Each invariant lists where it is broken.
+
+
+def _named_tables(session: Session) -> list[Problem]:
+    return [Problem(id_, f"table {id_} needs a name, by which it enters the canvas") for id_, t in session.tables.items() if not t.name.strip()]
+
+
+def _known_tables(session: Session) -> list[Problem]:
+    return [Problem(id_, f"node #{id_} reads table {n.table}, which does not exist") for id_, n in session.nodes.items() if isinstance(n, TableNode) and n.table not in session.tables]
+
+
+def _plain_names(session: Session) -> list[Problem]:
+    names = ((id_, source_name(n)) for id_, n in session.nodes.items())
+    return [Problem(id_, f"source name '{name}' must not have a dot: columns are read as source.column") for id_, name in names if name and "." in name]
+
+
+def _edge_ends(session: Session) -> list[Problem]:
+    ends = ((e, end) for e in session.edges for end in (e.from_, e.to))
+    out = [Problem(end, f"node #{end} of the edge {e.from_} to {e.to} does not exist") for e, end in ends if end not in session.nodes]
+    return out + [Problem(e.to, f"node #{e.to} has no input {e.port}") for e in session.edges if e.to in session.nodes and e.port not in session.nodes[e.to].ports]
+
+
+def _one_edge_an_input(session: Session) -> list[Problem]:
+    times = Counter((e.to, e.port) for e in session.edges)
+    return [Problem(to, f"input {port} of node #{to} is connected already") for (to, port), n in times.items() if n > 1]
+
+
+def _no_cycle(session: Session) -> list[Problem]:
+    edges = session.edges
+    while edges:
+        fed = {e.to for e in edges}
+        if len(left := [e for e in edges if e.from_ in fed]) == len(edges):
+            return [Problem(min(fed), "a node would feed itself: that makes a cycle")]
+        edges = left
+    return []
+
+
+INVARIANTS = (_named_tables, _known_tables, _plain_names, _edge_ends, _one_edge_an_input, _no_cycle, source_clashes)
+
+
+def faults(session: Session) -> list[Problem]:
+    return [p for invariant in INVARIANTS for p in invariant(session)]
+
+
+# Commands: each says what it changes; what the result may be is left to the invariants.
+
+
+def _has(mapping: dict, key: int, what: str) -> None:
+    if key not in mapping:
+        raise EditError(f"{what}{key} does not exist")
+
+
+def _with(mapping: dict, key: int, value, what: str) -> dict:
+    if key in mapping:
+        raise EditError(f"{what}{key} exists already")
+    return mapping | {key: value}
+
+
+def _without(mapping: dict, key: int) -> dict:
+    return {k: v for k, v in mapping.items() if k != key}
+
+
+class Command:
+    def on(self, session: Session) -> Session:
+        raise NotImplementedError
 
 
 @dataclass(frozen=True)
-class AddTable:
+class AddTable(Command):
     id: int
     spec: Table
 
+    def on(self, session: Session) -> Session:
+        return replace(session, tables=_with(session.tables, self.id, self.spec, "table "))
+
 
 @dataclass(frozen=True)
-class RemoveTable:
+class RemoveTable(Command):
     id: int
 
+    def on(self, session: Session) -> Session:
+        _has(session.tables, self.id, "table ")
+        return replace(session, tables=_without(session.tables, self.id))
+
 
 @dataclass(frozen=True)
-class AddNode:
+class AddNode(Command):
     id: int
     node: Node
     at: tuple[float, float] = (0.0, 0.0)
 
+    def on(self, session: Session) -> Session:
+        return replace(session, nodes=_with(session.nodes, self.id, self.node, "node #"), layout=session.layout | {self.id: self.at})
+
 
 @dataclass(frozen=True)
-class SetNode:
+class SetNode(Command):
     id: int
     node: Node
 
+    def on(self, session: Session) -> Session:
+        _has(session.nodes, self.id, "node #")
+        if self.node.kind != (kind := session.nodes[self.id].kind):
+            raise EditError(f"node #{self.id} is a {kind} and can't become a {self.node.kind}")
+        return replace(session, nodes=session.nodes | {self.id: self.node})
+
 
 @dataclass(frozen=True)
-class RemoveNode:
+class RemoveNode(Command):
     id: int
 
+    def on(self, session: Session) -> Session:
+        _has(session.nodes, self.id, "node #")
+        edges = tuple(e for e in session.edges if self.id not in (e.from_, e.to))
+        return Session(session.tables, _without(session.nodes, self.id), edges, _without(session.layout, self.id))
+
 
 @dataclass(frozen=True)
-class Connect:
+class Connect(Command):
     edge: Edge
 
+    def on(self, session: Session) -> Session:
+        return replace(session, edges=(*session.edges, self.edge))
+
 
 @dataclass(frozen=True)
-class Disconnect:
+class Disconnect(Command):
     edge: Edge
 
+    def on(self, session: Session) -> Session:
+        if self.edge not in session.edges:
+            raise EditError("there is no such connection")
+        return replace(session, edges=tuple(e for e in session.edges if e != self.edge))
+
 
 @dataclass(frozen=True)
-class Move:
+class Move(Command):
     id: int
     to: tuple[float, float]
 
-
-@dataclass(frozen=True)
-class Batch:
-    commands: tuple["Command", ...]
-
-
-Command = AddTable | RemoveTable | AddNode | SetNode | RemoveNode | Connect | Disconnect | Move | Batch
-
-
-def _refuse(when: bool, message: str) -> None:
-    if when:
-        raise EditError(message)
+    def on(self, session: Session) -> Session:
+        _has(session.nodes, self.id, "node #")
+        return replace(session, layout=session.layout | {self.id: self.to})
 
 
-def _check_node(session: Session, node: Node) -> None:
-    _refuse(isinstance(node, TableNode) and node.table not in session.tables, f"table {getattr(node, 'table', '')} does not exist")
-    name = source_name(node)
-    _refuse(bool(name) and "." in name, f"source name '{name}' must not have a dot: columns are read as source.column")
+@dataclass(frozen=True)
+class Batch(Command):
+    """Commands in their order, of which only the end must hold."""
 
+    commands: tuple[Command, ...]
 
-def _without(mapping: dict, key) -> dict:
-    return {k: v for k, v in mapping.items() if k != key}
+    def on(self, session: Session) -> Session:
+        for command in self.commands:
+            session = command.on(session)
+        return session
 
 
 def apply(session: Session, command: Command) -> Session:
-    match command:
-        case AddTable(id=id_, spec=spec):
-            _refuse(id_ in session.tables, f"table {id_} exists already")
-            _refuse(not spec.name.strip(), "a table needs a name, by which it enters the canvas")
-            return replace(session, tables=session.tables | {id_: spec})
-        case RemoveTable(id=id_):
-            _refuse(id_ not in session.tables, f"table {id_} does not exist")
-            _refuse(any(isinstance(n, TableNode) and n.table == id_ for n in session.nodes.values()), f"table {id_} is still read by a node")
-            return replace(session, tables=_without(session.tables, id_))
-        case AddNode(id=id_, node=node, at=at):
-            _refuse(id_ in session.nodes, f"node #{id_} exists already")
-            _check_node(session, node)
-            return replace(session, nodes=session.nodes | {id_: node}, layout=session.layout | {id_: at})
-        case SetNode(id=id_, node=node):
-            _refuse(id_ not in session.nodes, f"node #{id_} does not exist")
-            _check_node(session, node)
-            old = session.nodes[id_].kind
-            _refuse(old != node.kind, f"node #{id_} is a {old} and can't become a {node.kind}")
-            after = replace(session, nodes=session.nodes | {id_: node})
-            _refuse_new_clash(session, after, (id_,))
-            return after
-        case RemoveNode(id=id_):
-            _refuse(id_ not in session.nodes, f"node #{id_} does not exist")
-            left = tuple(e for e in session.edges if id_ not in (e.from_, e.to))
-            return replace(session, nodes=_without(session.nodes, id_), edges=left, layout=_without(session.layout, id_))
-        case Connect(edge=edge):
-            for end in (edge.from_, edge.to):
-                _refuse(end not in session.nodes, f"node #{end} does not exist")
-            _refuse(edge.from_ == edge.to, "a node can't feed itself")
-            _refuse(edge in session.edges, f"these nodes are connected at {edge.port} already")
-            _refuse(edge.port not in session.nodes[edge.to].ports, f"node #{edge.to} has no input {edge.port}")
-            _refuse(session.input_of(edge.to, edge.port) is not None, f"input {edge.port} of node #{edge.to} is connected already")
-            _refuse(edge.from_ in walk(session, edge.to, up=False), "that would make a cycle")
-            after = replace(session, edges=(*session.edges, edge))
-            _refuse_new_clash(session, after, (edge.to, edge.from_))
-            return after
-        case Disconnect(edge=edge):
-            _refuse(edge not in session.edges, "there is no such connection")
-            return replace(session, edges=tuple(e for e in session.edges if e != edge))
-        case Move(id=id_, to=to):
-            _refuse(id_ not in session.nodes, f"node #{id_} does not exist")
-            return replace(session, layout=session.layout | {id_: to})
-        case Batch(commands=commands):
-            for c in commands:
-                session = apply(session, c)
-            return session
-    raise EditError(f"unknown command {command!r}")
-
-
-def _refuse_new_clash(before: Session, after: Session, touched: tuple[int, ...]) -> None:
-    known = {c for id_ in touched for c in clashes_from(before, id_)}
-    new = [c for c in clashes_from(after, touched[0]) if c not in known]
-    _refuse(bool(new), f"{new[0].message if new else ''}; rename one of the two first")
-
-
-def invert(session: Session, command: Command) -> Command:
-    """The command that takes the result of ``command`` on this session back to it."""
-    match command:
-        case AddTable(id=id_):
-            return RemoveTable(id_)
-        case RemoveTable(id=id_):
-            return AddTable(id_, session.tables[id_])
-        case AddNode(id=id_):
-            return RemoveNode(id_)
-        case SetNode(id=id_):
-            return SetNode(id_, session.nodes[id_])
-        case RemoveNode(id=id_):
-            edges = (Connect(e) for e in session.edges if id_ in (e.from_, e.to))
-            return Batch((AddNode(id_, session.nodes[id_], session.layout.get(id_, (0.0, 0.0))), *edges))
-        case Connect(edge=edge):
-            return Disconnect(edge)
-        case Disconnect(edge=edge):
-            return Connect(edge)
-        case Move(id=id_):
-            return Move(id_, session.layout[id_])
-        case Batch(commands=commands):
-            out: list[Command] = []
-            for c in commands:
-                out.insert(0, invert(session, c))
-                session = apply(session, c)
-            return Batch(tuple(out))
-    raise EditError(f"unknown command {command!r}")
+    """The session after the command, refused if it breaks an invariant that held where it breaks it now."""
+    after = command.on(session)
+    old = set(faults(session))
+    if new := [p for p in faults(after) if p not in old]:
+        raise EditError(new[0].message)
+    return after
+
+
+def difference(before: Session, after: Session) -> Command:
+    """A command that leads from one session to the other."""
+    gone = lambda a, b: [k for k in a if k not in b or b[k] != a[k]]
+    tables = gone(before.tables, after.tables)
+    nodes = [k for k, n in before.nodes.items() if k not in after.nodes or after.nodes[k].kind != n.kind]
+    kept = [k for k in before.nodes if k in after.nodes and k not in nodes]
+    edges = [e for e in before.edges if not {e.from_, e.to} & set(nodes)]
+    steps: list[Command] = [Disconnect(e) for e in edges if e not in after.edges]
+    steps += [RemoveNode(k) for k in nodes] + [RemoveTable(k) for k in tables]
+    steps += [AddTable(k, t) for k, t in after.tables.items() if k in tables or k not in before.tables]
+    steps += [AddNode(k, n, after.layout.get(k, (0.0, 0.0))) for k, n in after.nodes.items() if k not in kept]
+    steps += [SetNode(k, after.nodes[k]) for k in kept if after.nodes[k] != before.nodes[k]]
+    steps += [Move(k, after.layout[k]) for k in kept if k in after.layout and after.layout[k] != before.layout.get(k)]
+    steps += [Connect(e) for e in after.edges if e not in edges]
+    return steps[0] if len(steps) == 1 else Batch(tuple(steps))
 
 
 @dataclass(frozen=True)
 class Editor:
-    """A session with its undo and redo steps, each a pair (redo, undo)."""
+    """A session with those before it, latest last, and those that undoing has left, latest last."""
 
     session: Session = field(default_factory=Session)
-    undo_steps: tuple[tuple[Command, Command], ...] = ()
-    redo_steps: tuple[tuple[Command, Command], ...] = ()
+    past: tuple[Session, ...] = ()
+    future: tuple[Session, ...] = ()
 
     def edit(self, command: Command) -> "Editor":
-        step = (command, _inverse(self.session, command))
-        return Editor(apply(self.session, command), (*self.undo_steps, step)[-UNDO_LIMIT:], ())
+        return Editor(apply(self.session, command), (*self.past, self.session)[-UNDO_LIMIT:])
 
     def undo(self) -> "Editor":
-        if not self.undo_steps:
-            return self
-        *rest, step = self.undo_steps
-        return Editor(apply(self.session, step[1]), tuple(rest), (*self.redo_steps, step))
+        return Editor(self.past[-1], self.past[:-1], (*self.future, self.session)) if self.past else self
 
     def redo(self) -> "Editor":
-        if not self.redo_steps:
-            return self
-        *rest, step = self.redo_steps
-        return Editor(apply(self.session, step[0]), (*self.undo_steps, step), tuple(rest))
-
-
-def _inverse(session: Session, command: Command) -> Command:
-    try:
-        return invert(session, command)
-    except KeyError:
-        apply(session, command)  # says what is wrong with it
-        raise
-
-
-# Reading a session
-
-
-def walk(session: Session, start: int, up: bool = True, both: bool = False) -> list[int]:
-    """Nodes reached from ``start``, itself first: those that feed it, those that it feeds, or all connected ones."""
-    seen, pending = {}, [start]
-    while pending:
-        here = pending.pop(0)
-        if here not in seen:
-            seen[here] = True
-            pending += [e.from_ for e in session.edges if e.to == here and (up or both)]
-            pending += [e.to for e in session.edges if e.from_ == here and (both or not up)]
-    return list(seen)
-
-
-def roots(session: Session) -> list[int]:
-    fed = {e.from_ for e in session.edges}
-    return sorted(n for n in session.nodes if n not in fed)
-
-
-def missing_inputs(session: Session) -> list[Problem]:
-    return [Problem(id_, f"input {p} is missing") for id_, n in sorted(session.nodes.items()) for p in n.ports if session.input_of(id_, p) is None]
-
-
-def source_name(node: Node) -> str | None:
-    name = node.to if isinstance(node, AliasNode) else own_alias(node)
-    return name if name and name.strip() else None
-
-
-def clashes_from(session: Session, start: int) -> list[Problem]:
-    """Nodes connected with ``start`` that name a source which a node before them names."""
-    first: dict[str, int] = {}
-    out = []
-    for id_ in sorted(walk(session, start, both=True)):
-        name = source_name(session.nodes[id_]) if id_ in session.nodes else None
-        if name and first.setdefault(name, id_) != id_:
-            out.append(Problem(id_, f"source '{name}' is named by node #{first[name]} of this tree already"))
-    return out
-
-
-def source_clashes(session: Session) -> list[Problem]:
-    seen: set[int] = set()
-    out = []
-    for id_ in sorted(session.nodes):
-        if id_ not in seen:
-            seen |= set(walk(session, id_, both=True))
-            out += clashes_from(session, id_)
-    return out
+        return Editor(self.future[-1], (*self.past, self.session), self.future[:-1]) if self.future else self
 
 
 # Plans
