@@ -1,14 +1,15 @@
 """Near-duplicate join on word n-grams by chosen paths.
 
-A document is the set of its five-word shingles (all its words, if it has fewer than five).  Documents with one set are
-a class and are represented once, so that copies never meet.  Each set has a min-hash signature; its values are the
+A document is the set of its five-word shingles (all its words, if it has fewer than five).  Documents with one set, by
+its size and two 64-bit fingerprints, are a class and are represented once, so that copies never meet.  Each set has a min-hash signature; its values are the
 tokens on which sets are split:
 
 * At the root, as many positions are chosen as the target recall takes; sets with the same value share a node.
 * A node with too many sets is split again on further positions, several times over, first in Spark, then in the task
   that holds it; nodes that are small, or whose sets are all alike, are compared by brute force on signatures.
 * Sets that may be similar are linked to one pivot each, never in all pairs.  Components of these links are checked
-  exactly on whole shingle sets; a large component is checked in blocks of chunk against chunk.
+  exactly on whole sets of shingles, which are compared word by word; a large component is checked in blocks of chunk
+  against chunk.
 
 The result has one row for each document: its class (the smallest doc_id it is linked to, over any number of links) and
 the number of documents it is linked to directly, copies included.
@@ -24,17 +25,20 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.components import components
-from weft.llm.repeats import groups
+from weft.llm.repeats import groups, table_bytes
 from weft.llm.shared import cut, small_batches
 from weft.llm.stats import doc_of
-from weft.llm.textblock import Block, blocks, mix, prefix_hash, span_hash, window_starts
+from weft.llm.textblock import Block, blocks, mix, sequence_codes, window_codes, window_starts
 
 TOKENS = 64
+#: Compressed bytes of the table for each bucket of nodes or of components.
+BUCKET_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -71,13 +75,32 @@ class Join:
 def shingles(block: Block, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of each document, by document: their hashes, and their documents."""
     _, _, code, first = block.words
+    start, short = _shingle_starts(first, width)
+    key = np.concatenate([window_codes(code, width)[start], sequence_codes(code, first[short], first[short + 1])])
+    return _distinct(key, np.concatenate([doc_of(first)[start], short]))
+
+
+def numbered_shingles(block: Block, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with numbers that are the block's own, by the words themselves: equal for equal shingles and no others."""
+    first, word = block.words[3], block.numbers
+    start, short = _shingle_starts(first, width)
+    number, span = word.astype(np.int64), 1
+    while span < width and len(number) > min(span, width - span):
+        step = min(span, width - span)  # numbers of pairs of numbers stand for twice as many words
+        number, span = pd.factorize(number[:-step] << 32 | number[step:])[0], span + step
+    whole = number[start] if len(start) else start
+    known: dict[bytes, int] = {}
+    few = [-1 - known.setdefault(word[a:z].tobytes(), len(known)) for a, z in zip(first[short].tolist(), first[short + 1].tolist(), strict=True)]
+    return _distinct(np.concatenate([whole, np.array(few, dtype=np.int64)]), np.concatenate([doc_of(first)[start], short]))
+
+
+def _shingle_starts(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the windows begin, and the documents that have some words but no window."""
     count = np.diff(first)
-    start = np.flatnonzero(window_starts(first, width))
-    short = np.flatnonzero((count > 0) & (count < width))
-    prefix = prefix_hash(code)
-    a, z = np.concatenate([start, first[short]]), np.concatenate([start + width, first[short] + count[short]])
-    key = mix(span_hash(prefix, a, z) + (z - a).astype(np.uint64))
-    doc = np.concatenate([doc_of(first)[start], short])
+    return np.flatnonzero(window_starts(first, width)), np.flatnonzero((count > 0) & (count < width))
+
+
+def _distinct(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((key, doc))
     key, doc = key[order], doc[order]
     new = np.ones(len(key), dtype=bool)
@@ -247,9 +270,11 @@ def checked(table: pa.Table, how: Join) -> pa.Table:
     """(cid, to, links) for the classes of each unit of a bucket; a unit is a component, or two chunks of one."""
 
     block = Block.of(table.column("text"))
-    key, doc = shingles(block, how.width)
+    key, doc = numbered_shingles(block, how.width)
     at = np.searchsorted(doc, np.arange(block.n + 1))
     sets = [key[a:z] for a, z in zip(at, at[1:])]
+    key, doc = shingles(block, how.width)
+    at = np.searchsorted(doc, np.arange(block.n + 1))
     f1, f2 = np.zeros(block.n, np.int64), np.zeros(block.n, np.int64)
     some = np.flatnonzero(np.diff(at))
     f1[some], f2[some] = fingerprints(key, at[:-1][some])
@@ -273,7 +298,8 @@ def join(documents: DataFrame, how: Join = Join()) -> DataFrame:
     """doc_id, class_id and n_links of every document."""
     spark = documents.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 8 * tasks
+    # Buckets follow the data: signatures and texts of one take some MB, whatever the table.
+    buckets = max(8 * tasks, table_bytes(documents) // BUCKET_BYTES)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = small_batches(documents).select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("th"))
     sketch = cut(sketches(docs, how))

@@ -6,8 +6,9 @@ every partition and needs no exchange, and equal word sequences get equal symbol
 round may use words outside it; what a window alone determines is tracked exactly, and with the number of rounds
 chosen something always is, but beside runs of one word, where the window itself serves as its symbol.
 
-A window's anchor is the least of its determined high-level symbols.  Anchors that two windows share reveal repeats;
-the windows under them are then told apart by fingerprints of their words (:mod:`weft.llm.repeats`).
+A window's anchor is the least, by a hash, of the groups of three neighbours among its determined high-level symbols (of
+single symbols where there are fewer).  Anchors that two windows share reveal repeats; the windows under them are then
+verified on their words (:mod:`weft.llm.repeats`).
 
 Defined results.  A null text has no words.  Texts of fewer than 35 words keep everything; texts of any length are
 read whole.  Every occurrence of a repeated window is removed, the first too, also within one document and in repeated
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from weft.llm.repeats import Runs, find, groups
-from weft.llm.textblock import Block, covered, mix, prefix_hash, span_hash, window_hash, window_starts
+from weft.llm.textblock import Block, absorb, covered, equal_sequences, mix, verified_classes, window_codes, window_starts
 
 _RUN, _PAIR, _SIDE = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
@@ -75,8 +76,8 @@ def _least(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 class WordWindows:
-    def __init__(self, width: int = 35):
-        self.width, self.rounds = width, rounds_for(width)
+    def __init__(self, width: int = 35, symbols: int = 3):
+        self.width, self.rounds, self.symbols = width, rounds_for(width), symbols
 
     def ids(self, rows) -> np.ndarray:
         return np.zeros(rows.num_rows, dtype=np.int64)
@@ -107,24 +108,43 @@ class WordWindows:
                 lost = ~some
                 low[lost], high[lost] = 1, 1  # stays empty: the next round only moves low up and high down
         some = low < high
-        key = (mix(symbol) & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(symbol), dtype=np.uint64)
         name, anchor = np.empty(len(start), dtype=np.uint64), np.empty(len(start), dtype=np.int64)
-        best = (_least(key, low[some], high[some]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        # Not the hash that was minimised, whose small values would crowd the first buckets.
-        name[some], anchor[some] = mix(symbol[best] + _SIDE), begin[best]
-        prefix = prefix_hash(code)
-        name[~some] = mix(span_hash(prefix, start[~some], start[~some] + width) + _RUN)
+        many = high - low >= self.symbols
+        for n_symbols, mine in ((self.symbols, some & many), (1, some & ~many)):
+            gram = window_codes(symbol, n_symbols)
+            key = (mix(gram) & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(gram), dtype=np.uint64)
+            best = (_least(key, low[mine], high[mine] - n_symbols + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            # Not the hash that was minimised, whose small values would crowd the first buckets.
+            name[mine], anchor[mine] = mix(gram[best] + _SIDE), begin[best]
+        print_ = self.prints(block)
+        name[~some] = mix(print_[start[~some]])
         anchor[~some] = -1 - start[~some]  # a window of its own
-        edge = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)]))
+        edge = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1) | (name[1:] != name[:-1])]))
         a, z = start[edge], start[np.append(edge[1:], len(start)) - 1] + 1
         offset = np.where(anchor[edge] < 0, 0, anchor[edge] - a)
-        content = mix(span_hash(prefix, a, z + width - 1) + ((z - a) * 4096 + offset).astype(np.uint64) * _SIDE)
+        # The first and the last window of a run have all its words, since both have the anchor.
+        content = absorb(absorb(mix(print_[a]), print_[z - 1]), ((z - a) * 4096 + offset).astype(np.uint64))
         return Runs(name[edge] & ~np.uint64(1), words_of[a], a, z, offset, content)
 
     def window_names(self, block: Block, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A name for each window by its words alone, and a key that tells it from others."""
-        code = span_hash(prefix_hash(block.words[2]), start, start + self.width)
-        return mix(code + _PAIR), mix(code)
+        print_ = self.prints(block)[start]
+        return absorb(_PAIR, print_), mix(print_)
+
+    def prints(self, block: Block) -> np.ndarray:
+        """The hash of the window from each word on, worked out once for a block."""
+        if getattr(block, "prints", None) is None:
+            block.prints = window_codes(block.words[2], self.width)
+        return block.prints
+
+    def flat(self, blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all blocks' words among their distinct words, and where each block's begin."""
+        sizes, at = [len(b.words[0]) for b in blocks], np.cumsum([0, *(len(b.data) for b in blocks)])
+        whole = Block(np.concatenate([b.data for b in blocks] or [np.zeros(0, np.uint8)]), at[[0, -1]])
+        start, end, code = (np.concatenate([b.words[k] + (base if k < 2 else np.uint64(0)) for b, base in zip(blocks, at.tolist(), strict=False)] or [np.zeros(0, np.int64)]) for k in range(3))
+        return whole.distinct(start, end, code)[0] if len(start) else start, np.cumsum([0, *sizes])[:-1]
+
+    equal = staticmethod(equal_sequences)
 
     def many(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         return np.diff(np.append(at, len(ids))) > 1
@@ -136,63 +156,58 @@ class WordWindows:
         return np.zeros(len(ids), dtype=bool)
 
     def load(self, spans) -> bytes:
-        """A second fingerprint of each window, independent of the names."""
-        prints: dict[int, np.ndarray] = {}
+        """The words of each run, each followed by one space."""
         out = []
         for block, a, z in spans:
-            if id(block) not in prints:
-                prints[id(block)] = self._prints(block)
-            out.append(prints[id(block)][a:z])
-        return np.concatenate(out).tobytes()
-
-    def _prints(self, block: Block) -> np.ndarray:
-        """The fingerprint of the window from each word on, worked out once for a block."""
-        if getattr(block, "prints", None) is None:
-            block.prints = window_hash(mix(block.words[2] ^ _PAIR), self.width)
-        return block.prints
-
-    def settle(self, name, key, count, length, anchor, load) -> np.ndarray:
-        window = load.view(np.uint64)
-        begin = np.cumsum(length) - length
-        order = np.lexsort((key, name))
-        n, k = name[order], key[order]
-        first = np.flatnonzero(np.concatenate([[True], (n[1:] != n[:-1]) | (k[1:] != k[:-1])]))
-        number = np.empty(len(n), dtype=np.int64)
-        number[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(n))))
-        one, total = order[first], np.add.reduceat(count[order], first)
+            if getattr(block, "spaced", None) is None:
+                block.spaced = spaced(block.data, *block.words[:2])
+            flat, begin = block.spaced
+            out.append(flat[begin[a] : begin[z + self.width - 1]])
+        return b"".join(out)
+
+    def settle(self, every, name, key, count, length, anchor, load) -> np.ndarray:
+        """For each window of each run: whether its words also start anywhere else."""
+        width = self.width
+        block = Block(load, np.array([0, len(load)]))
+        code, word = block.words[2], block.numbers
+        begin = np.cumsum(length + width - 1) - (length + width - 1)
+        order, at, number = every.same_runs(name, key, word, begin, length)
+        one, total = order[at], np.add.reduceat(count[order], at)
         m = length[one]
         start = np.cumsum(m) - m
         step = np.arange(int(m.sum())) - np.repeat(start, m)
-        print_ = window[np.repeat(begin[one], m) + step]
         times = np.repeat(total, m)
         of_name = groups(name[one])
         runs = np.diff(np.append(of_name, len(one)))
-        mixed = np.flatnonzero(np.repeat(np.repeat(runs > 1, runs), m))
+        mixed = np.flatnonzero(np.repeat(np.repeat(runs > 1, runs), m))  # windows of names with runs that differ
         if len(mixed):
-            by = np.lexsort((print_[mixed], np.repeat(name[one], m)[mixed]))
-            at = mixed[by]
-            p, q = print_[at], np.repeat(name[one], m)[at]
-            edge = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (q[1:] != q[:-1])]))
-            times[at] = np.repeat(np.add.reduceat(times[at], edge), np.diff(np.append(edge, len(at))))
-        where = np.repeat(start[number], length) + np.arange(int(length.sum())) - np.repeat(begin, length)
+            window = (np.repeat(begin[one], m) + step)[mixed]
+            same = lambda i, j: equal_sequences(word, window[i], window[j], np.full(len(i), width))
+            by, edge, _ = verified_classes((np.repeat(name[one], m)[mixed], window_codes(code, width)[window]), same, lambda i: word[window[i] : window[i] + width].tobytes())
+            times[mixed[by]] = np.repeat(np.add.reduceat(times[mixed[by]], edge), np.diff(np.append(edge, len(by))))
+        where = np.repeat(start[number] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
         return times[where] > 1
 
 
+def spaced(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The words of a text, each followed by one space, and where each begins (one entry more)."""
+    size = end - start + 1
+    stop = np.cumsum(size)
+    total = int(stop[-1]) if len(stop) else 0
+    flat = np.append(data, np.uint8(32))[np.arange(total) + np.repeat(start - stop + size, size)]
+    flat[stop - 1] = 32
+    return flat.tobytes(), np.concatenate([[0], stop])
+
+
 def dedup(documents: DataFrame, width: int = 35, hot: int = 4096) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by one space, for every document."""
 
     def finish(rows, block: Block, starts: np.ndarray) -> dict:
         start, end, code, first = block.words
         gone = covered(starts, len(code), width)
-        a, z = start[~gone], end[~gone]
-        size = z - a + 1
-        stop = np.cumsum(size)
-        total = int(stop[-1]) if len(stop) else 0
-        flat = np.append(block.data, np.uint8(32))[np.arange(total) + np.repeat(a - stop + size, size)]
-        flat[stop - 1] = 32
+        raw, begin = spaced(block.data, start[~gone], end[~gone])
         kept = np.concatenate([[0], np.cumsum(~gone)])[first]
-        cut = np.concatenate([[0], stop])[kept].tolist()
-        raw = flat.tobytes()
+        cut = begin[kept].tolist()
         removed = np.diff(first) - np.diff(kept)
         return {"doc_id": rows.column("doc_id"), "n_words": np.diff(first), "n_removed": removed, "kept": pa.array([raw[x : max(y - 1, x)] for x, y in zip(cut, cut[1:])], pa.binary())}
 

@@ -5,7 +5,8 @@ windows choose the same anchor at the same place.  Consecutive windows with one
 
 1. Each part (documents by a hash) lists its anchors' names; a bucket by name marks the names that can have a repeat.
 2. Each part sends, for marked names, its distinct runs (name and content) once, with a count or a smallest doc_id.
-3. A bucket settles each name.  Where all runs are the same, the totals decide; else the windows are told apart.
+3. A bucket settles each name.  Where all runs are the same, the totals decide; else the windows are told apart.  Names
+   and keys only bring together: what counts as equal is compared byte by byte, or word by word.
 4. Each part reads off which windows of its documents repeat.
 
 A name with very many different runs (a passage that is common in ever different surroundings) would gather them all in
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.shared import small_batches
-from weft.llm.textblock import Block
+from weft.llm.textblock import Block, verified_classes
 
 ROWS = "bucket int, part int, kind int, a binary, b binary, c binary, d binary, e binary, size long"
 NAMES = [x.split()[0] for x in ROWS.split(", ")]
@@ -91,27 +92,32 @@ class Repeats:
     # Pass 1
 
     def listed(self, table: pa.Table):
-        """The part's blocks with their runs and ids, its distinct names, which of these repeat within the part, and how
-        many different runs each has there (up to 255)."""
+        """The part's blocks with their runs and ids, and its distinct names."""
         found = []
         for rows, block in parts_of(table):
             runs = self.windows.runs(block, rows.column("doc_id"))
             found.append((rows, block, runs, self.windows.ids(rows)))
-        name = np.concatenate([r.name for _, _, r, _ in found] or [np.zeros(0, np.uint64)])
-        ids = np.concatenate([i[r.doc] for _, _, r, i in found] or [np.zeros(0, np.int64)])
-        key = np.concatenate([r.key for _, _, r, _ in found] or [np.zeros(0, np.uint64)])
-        order = np.lexsort((key, name))
-        name, ids, key = name[order], ids[order], key[order]
-        at = groups(name)
-        new = np.ones(len(name), dtype=np.int64)
-        new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
-        different = np.add.reduceat(new, at) if len(at) else new
-        return found, name[at], self.windows.many(ids, at), np.minimum(different, 255).astype(np.uint8)
+        name = np.sort(np.concatenate([r.name for _, _, r, _ in found] or [np.zeros(0, np.uint64)]))
+        return found, name[groups(name)]
 
     def names(self, table: pa.Table) -> pa.Table:
-        _, name, many, different = self.listed(table)
+        """The part's names, each with whether it repeats within the part, and how many different runs it has there (up to 255)."""
+        found, distinct = self.listed(table)
+        name, ids, key = (np.concatenate([x for x in some] or [np.zeros(0, t)]) for some, t in (((r.name for _, _, r, _ in found), np.uint64), ((i[r.doc] for _, _, r, i in found), np.int64), ((r.key for _, _, r, _ in found), np.uint64)))
+        order = np.argsort(name, kind="stable")
+        at = groups(name[order])
+        many, size = self.windows.many(ids[order], at), np.diff(np.append(at, len(name)))
+        # Most names have one run; the others are looked at by key, too.
+        several = order[np.repeat(size > 1, size)]
+        several = several[np.lexsort((key[several], name[several]))]
+        new = np.ones(len(several), dtype=np.int64)
+        new[1:] = (key[several[1:]] != key[several[:-1]]) | (name[several[1:]] != name[several[:-1]])
+        different = np.ones(len(at), dtype=np.int64)
+        if len(several):
+            different[size > 1] = np.add.reduceat(new, groups(name[several]))
         part = table.column("part")[0].as_py()
-        return pa.Table.from_pylist(packed(part, self.bucket(name), 0, self.buckets, name | many.astype(np.uint64), different), schema=ARROW)
+        rows = packed(part, self.bucket(distinct), 0, self.buckets, distinct | many.astype(np.uint64), np.minimum(different, 255).astype(np.uint8))
+        return pa.Table.from_pylist(rows, schema=ARROW)
 
     def mark(self, table: pa.Table) -> pa.Table:
         """For each part's names of this bucket two bits: whether the name is in another part too or repeats within, and
@@ -156,13 +162,15 @@ class Repeats:
             ids.append(doc_ids[mine.doc])
         runs = Runs(*(np.concatenate([vars(r)[x] for r in kept] or [np.zeros(0, np.int64)]) for x in ("name", "doc", "start", "end", "anchor", "key")))
         which, ids = np.concatenate(which or [np.zeros(0, np.int64)]), np.concatenate(ids or [np.zeros(0, np.int64)])
-        order = np.lexsort((runs.key, runs.name))
-        n, key = runs.name[order], runs.key[order]
-        at = np.flatnonzero(np.concatenate([[True], (n[1:] != n[:-1]) | (key[1:] != key[:-1])])) if len(n) else np.zeros(0, np.int64)
-        number = np.empty(len(n), dtype=np.int64)
-        number[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(n))))
-        first = order[at]
-        return runs, which, number, first, self.windows.statistic(ids[order], at), ids
+        flat, base = self.windows.flat([block for _, block, _, _ in found])
+        order, at, number = self.same_runs(runs.name, runs.key, flat, base[which] + runs.start, runs.end - runs.start)
+        return runs, which, number, order[at], self.windows.statistic(ids[order], at), ids
+
+    def same_runs(self, name, key, flat, begin, length):
+        """Runs of the same name, key and content, which is compared: an order, where each class starts, each run's class."""
+        size = length + self.windows.width - 1
+        same = lambda i, j: (size[i] == size[j]) & self.windows.equal(flat, begin[i], begin[j], np.minimum(size[i], size[j]))
+        return verified_classes((name, key), same, lambda i: flat[begin[i] : begin[i] + size[i]].tobytes())
 
     def singles(self, block: Block, runs: Runs) -> Runs:
         """Each window of the runs as a run with a name of its own."""
@@ -175,7 +183,7 @@ class Repeats:
         if not table.num_rows:
             return ARROW.empty_table()
         part = table.column("part")[0].as_py()
-        found, name, _, _ = self.listed(table)
+        found, name = self.listed(table)
         shared, apart = self.bits(answers, 1), self.bits(answers, 1, "b")
         runs, which, _, first, statistic, _ = self.classes(found, name, shared, apart)
         one = runs.take(first)
@@ -201,7 +209,7 @@ class Repeats:
             statistic = np.concatenate([np.frombuffer(r["b"], np.int64) for r in rows])
             shape = np.concatenate([np.frombuffer(r["c"], np.uint16).reshape(2, -1) for r in rows], axis=1).astype(np.int64)
             load = np.frombuffer(b"".join(pa.decompress(r["d"], r["size"], codec="zstd", asbytes=True) for r in rows), np.uint8)
-            flags = self.windows.settle(head[0], head[1], statistic, shape[0], shape[1], load)
+            flags = self.windows.settle(self, head[0], head[1], statistic, shape[0], shape[1], load)
             ends = np.concatenate([[0], np.cumsum(shape[0])])
             k = 0
             for r in rows:
@@ -215,7 +223,7 @@ class Repeats:
 
     def repeated(self, table: pa.Table, answers: pa.Table):
         """For each block of the part: its rows, the block, and the window starts that repeat."""
-        found, name, _, _ = self.listed(table)
+        found, name = self.listed(table)
         runs, which, number, first, statistic, ids = self.classes(found, name, self.bits(answers, 3), self.bits(answers, 3, "b"))
         flags = self.bits(answers, 2)
         length = (runs.end - runs.start)[first]
@@ -243,7 +251,7 @@ def find(windows, documents: DataFrame, finish, schema: str, hot: int = 4096) ->
     every = Repeats(windows, int(max(48, min(size, size**0.5 * 200))), hot)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(every.parts)).cast("int").alias("part")
-    tasks = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), every.parts // 8)
+    tasks = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), every.parts // 2)
     dealt = small_batches(documents).select(F.col("doc_id").cast("long"), text).select("doc_id", "text", part).repartition(tasks, "part").groupBy("part")
     arrow = pa.schema([(n, TYPES[kind]) for n, kind in map(str.split, schema.split(", "))])
     # Plain functions: Spark counts a method's self among the arguments.

@@ -56,10 +56,11 @@ def statistics(block: Block) -> np.ndarray:
     upper = is_upper | accented
     count = lambda *bytes_: block.per_doc(np.isin(data, bytes_))
     again = np.zeros(len(code), dtype=bool)
-    again[1:] = (code[1:] == code[:-1]) & (doc[1:] == doc[:-1])
-    key = np.sort(doc.astype(np.uint64) << np.uint64(44) | code >> np.uint64(20))  # a block has far fewer than 2**20 documents
+    number = block.numbers
+    again[1:] = (number[1:] == number[:-1]) & (doc[1:] == doc[:-1])
+    key = np.sort(doc << 32 | number)
     new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
-    distinct = np.bincount((key[new] >> np.uint64(44)).astype(np.int64), minlength=block.n)
+    distinct = np.bincount(key[new] >> 32, minlength=block.n)
     line_doc = lines(block)[2]
     n_lines = np.maximum(np.bincount(line_doc, minlength=block.n), 1)
     per = lambda flags: np.bincount(doc[flags], minlength=block.n)

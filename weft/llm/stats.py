@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from weft.llm.textblock import SPACE, Block, covered, mix, prefix_hash, span_hash, window_hash, window_starts, BYTE_CODE
+from weft.llm.textblock import SPACE, Block, covered, equal_sequences, verified_classes, window_codes, window_starts
 
 #: Fixed: the characters counted as symbols.
 SYMBOLS = np.zeros(256, dtype=bool)
@@ -17,33 +17,30 @@ def doc_of(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
-def same(key: np.ndarray) -> np.ndarray:
-    """How many entries have each entry's key."""
-    order = np.argsort(key, kind="stable")
-    ordered = key[order]
-    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(key) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(starts, len(key)))
-    out = np.empty(len(key), dtype=np.int64)
-    out[order] = np.repeat(sizes, sizes)
-    return out
-
-
 def repeat_words(block: Block, width: int = REPEAT_WORDS) -> np.ndarray:
     """Words of each document in windows of ``width`` words that it has twice or more, the first included."""
     _, _, code, first = block.words
     n = len(code)
     starts = np.flatnonzero(window_starts(first, width))
-    key = mix(window_hash(code, width)[starts] + mix(doc_of(first).astype(np.uint64))[starts]) if len(starts) else np.zeros(0, np.uint64)
-    mask = covered(starts[same(key) > 1], n, width)
+    if not len(starts):
+        return np.zeros(block.n, dtype=np.int64)
+    doc, key = doc_of(first)[starts], window_codes(code, width)[starts]
+
+    def same(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return equal_sequences(block.numbers, starts[i], starts[j], np.full(len(i), width))
+
+    order, at, _ = verified_classes((key, doc), same, lambda i: tuple(block.numbers[starts[i] : starts[i] + width].tolist()))
+    sizes = np.diff(np.append(at, len(order)))
+    mask = covered(np.sort(starts[order[np.repeat(sizes > 1, sizes)]]), n, width)
     total = np.concatenate([[0], np.cumsum(mask)])
     return total[first[1:]] - total[first[:-1]]
 
 
-def lines(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and document of every \\n-split line that has a word, and the line's key within its document."""
+def lines(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of every \\n-split line that has a word."""
     data = block.data
     if not len(data):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        return (np.zeros(0, np.int64),) * 3
     marks = np.zeros(len(data) + 1, dtype=bool)
     marks[1:] = data == 10
     marks[block.bounds] = True
@@ -53,23 +50,29 @@ def lines(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     solid = np.concatenate([[0], np.cumsum(~SPACE[data])])
     keep = solid[end] > solid[start]
     start, end = start[keep], end[keep]
-    doc = np.searchsorted(block.bounds, start, side="right") - 1
-    prefix = prefix_hash(BYTE_CODE[data])
-    return start, end, doc, mix(mix(span_hash(prefix, start, end) + (end - start).astype(np.uint64)) + mix(doc.astype(np.uint64)))
+    return start, end, np.searchsorted(block.bounds, start, side="right") - 1
+
+
+def repeated_lines(block: Block) -> np.ndarray:
+    """How many lines of each document equal an earlier one of it, compared as they are."""
+    start, end, doc = lines(block)
+    raw, out = block.data.tobytes(), np.zeros(block.n, dtype=np.int64)
+    found = [raw[a:z] for a, z in zip(start.tolist(), end.tolist(), strict=True)]
+    edge = np.searchsorted(doc, np.arange(block.n + 1)).tolist()
+    for k in np.flatnonzero(np.bincount(doc, minlength=block.n) > 1).tolist():
+        mine = found[edge[k] : edge[k + 1]]
+        out[k] = len(mine) - len(set(mine))
+    return out
 
 
 def base_stats(block: Block) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each document."""
     first = block.words[3]
     data = block.data
-    _, _, doc, key = lines(block)
-    order = np.argsort(key)
-    again = np.zeros(len(key), dtype=bool)
-    again[1:] = key[order][1:] == key[order][:-1]
     return {
         "n_words": np.diff(first),
         "word_chars": block.per_doc(~SPACE[data] & ((data & 0xC0) != 0x80)),
         "n_symbols": block.per_doc(SYMBOLS[data]),
-        "n_dup_lines": np.bincount(doc[order][again], minlength=block.n),
+        "n_dup_lines": repeated_lines(block),
         "n_repeat_words": repeat_words(block),
     }

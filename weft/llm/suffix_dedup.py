@@ -1,7 +1,7 @@
 """Byte-level deduplication: every byte covered by a 50-byte string that also starts in a document with a smaller doc_id.
 
-Anchors are minimisers, the smallest hash of 16 bytes in a 50-byte window.  Runs of windows under one anchor travel as
-their text; where a name has runs that differ, their suffixes are put in order by :mod:`weft.llm.suffix_sort`, which
+Anchors are minimisers, the smallest hash of 24 bytes in a 50-byte window.  Runs of windows under one anchor travel as
+their text, by which equal runs are told; where a name has runs that differ, their suffixes are put in order by :mod:`weft.llm.suffix_sort`, which
 tells equal windows from others, and the smallest doc_id of each class of equal windows decides.
 
 Defined results.  A null text is empty.  A document with a null doc_id has no order: it neither loses bytes nor takes
@@ -17,19 +17,11 @@ from pyspark.sql import DataFrame
 
 from weft.llm.repeats import Runs, find, groups
 from weft.llm.suffix_sort import equal_classes
-from weft.llm.textblock import BYTE_CODE, Block, covered, mix, prefix_hash, span_hash
+from weft.llm.textblock import Block, absorb, covered, eights, equal_spans, mix, span_codes
 
 NO_ID = np.iinfo(np.int64).max
 
 
-def _eight(data: np.ndarray) -> np.ndarray:
-    """The little-endian number of the 8 bytes from each place on (shorter by 7)."""
-    x = data.astype(np.uint64)
-    for k in (1, 2, 4):
-        x = x[:-k] | (x[k:] << np.uint64(8 * k))
-    return x
-
-
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     span = 1
     while 2 * span <= width:
@@ -39,7 +31,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 class ByteWindows:
-    def __init__(self, width: int = 50, seed: int = 16):
+    def __init__(self, width: int = 50, seed: int = 24):
         self.width, self.seed = width, seed
 
     def ids(self, rows) -> np.ndarray:
@@ -50,10 +42,10 @@ class ByteWindows:
         n = len(data) - width + 1
         if n <= 0:
             return Runs(*(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int64, np.uint64)))
-        eight = _eight(data)
-        code = eight[:-8] * np.uint64(0x9E3779B97F4A7C15) + eight[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
-        code ^= code >> np.uint64(31)
-        code *= np.uint64(0x94D049BB133111EB)
+        eight, m = eights(data), len(data) - k + 1
+        code = absorb(np.full(m, k, dtype=np.uint64), eight[:m])
+        for at in range(8, k, 8):
+            code = absorb(code, eight[at : at + m])
         best = sliding_min((code & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(code), dtype=np.uint64), width - k + 1)
         place = (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
         # A window is valid if it ends in its document; documents without an id take no part.
@@ -70,16 +62,21 @@ class ByteWindows:
         run = np.flatnonzero(valid[edge])
         start, end = edge[run], edge[run + 1]
         anchor = place[start]
-        prefix = prefix_hash(BYTE_CODE[data])
-        key = mix(span_hash(prefix, start, end + width - 1) + ((end - start) * 64 + anchor - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        key = absorb(span_codes(data, start, end + width - 1), (anchor - start).astype(np.uint64))
         doc = np.searchsorted(block.bounds, start, side="right") - 1
         return Runs(mix(code[anchor]) & ~np.uint64(1), doc, start, end, anchor - start, key)
 
     def window_names(self, block: Block, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A name for each window by its bytes alone, and a key that tells it from others."""
-        prefix = prefix_hash(BYTE_CODE[block.data])
-        code = span_hash(prefix, start, start + self.width)
-        return mix(code + np.uint64(0xA24BAED4963EE407)), mix(code)
+        end = start + self.width
+        return span_codes(block.data, start, end, 1), span_codes(block.data, start, end, 2)
+
+    def flat(self, blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all blocks, and where each block's begin."""
+        sizes = [len(b.data) for b in blocks]
+        return np.concatenate([b.data for b in blocks] or [np.zeros(0, np.uint8)]), np.cumsum([0, *sizes])[:-1]
+
+    equal = staticmethod(equal_spans)
 
     def many(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         return np.minimum.reduceat(ids, at) < np.maximum.reduceat(ids, at) if len(at) else np.zeros(0, bool)
@@ -93,16 +90,11 @@ class ByteWindows:
     def load(self, spans) -> bytes:
         return b"".join(block.data[a : z + self.width - 1].tobytes() for block, a, z in spans)
 
-    def settle(self, name, key, smallest, length, anchor, load) -> np.ndarray:
+    def settle(self, every, name, key, smallest, length, anchor, load) -> np.ndarray:
         """For each window of each run: whether it also starts in a document below the run's smallest."""
         width = self.width
-        text_end = np.cumsum(length + width - 1)
-        text = text_end - (length + width - 1)
-        order = np.lexsort((key, name))
-        n, k = name[order], key[order]
-        first = np.flatnonzero(np.concatenate([[True], (n[1:] != n[:-1]) | (k[1:] != k[:-1])]))
-        number = np.empty(len(n), dtype=np.int64)
-        number[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(n))))
+        text = np.cumsum(length + width - 1) - (length + width - 1)
+        order, first, number = every.same_runs(name, key, load, text, length)
         least = np.minimum.reduceat(smallest[order], first)
         one = order[first]  # a run for each class
         begin = np.concatenate([[0], np.cumsum(length[one])])

@@ -2,16 +2,40 @@
 
 ``H[j] - H[i]`` of a prefix polynomial gives the hash of any span at once, so that the longest common prefix of two
 suffixes takes about log2(width) comparisons of hashes, and their order one more byte.  All groups are merged at the
-same time, level by level.  Equality by hash is verified on the bytes; if it ever fails, the bytes decide.
+same time, level by level.  The order is verified on the bytes, neighbour by neighbour; if it ever fails, the bytes decide.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from weft.llm.textblock import BYTE_CODE, INVERSE, powers, prefix_hash
+from weft.llm.textblock import BLOCK_BYTES, equal_spans
 
-CHUNK = 1 << 15
+#: A random odd 64-bit value for each byte, and the base of the prefix polynomial with its inverse mod 2**64.
+BYTE_CODE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BASE = 0x9E3779B97F4A7C15 | 1
+INVERSE = pow(BASE, -1, 1 << 64)
+
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) mod 2**64, kept for the next call unless the text was unusually long."""
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        have = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+        have[0] = 1
+        have = np.multiply.accumulate(have)
+        if len(have) <= 4 * BLOCK_BYTES:
+            _powers[base] = have
+    return have[:n]
+
+
+def prefix_hash(values: np.ndarray) -> np.ndarray:
+    """H with H[j] - H[i] = sum of values[k] * BASE**k for i <= k < j."""
+    out = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * powers(BASE, len(values)), out=out[1:])
+    return out
 
 
 class Suffixes:
@@ -60,18 +84,20 @@ class Suffixes:
             run *= 2
         return order
 
-    def same_as_next(self, order: np.ndarray, together: np.ndarray) -> np.ndarray:
-        """For each entry but the last: whether its suffix equals the next one's, looked at where ``together`` is set."""
+    def steps(self, order: np.ndarray, together: np.ndarray) -> np.ndarray:
+        """For each entry but the last, -1, 0 or 1 as its suffix is before, equal to or after the next one's, on the bytes;
+        looked at where ``together`` is set, else -1."""
+        out = np.full(max(len(order) - 1, 0), -1)
         pair = np.flatnonzero(together)
-        out = np.zeros(max(len(order) - 1, 0), dtype=bool)
         a, b = order[pair], order[pair + 1]
-        equal = (self.prefix[a + self.width] - self.prefix[a]) * self.scale[a] == (self.prefix[b + self.width] - self.prefix[b]) * self.scale[b]
-        pair, a, b = pair[equal], a[equal], b[equal]
-        step = np.arange(self.width)
-        for k in range(0, len(pair), CHUNK):  # verified on the bytes
-            if (self.text[a[k : k + CHUNK, None] + step] != self.text[b[k : k + CHUNK, None] + step]).any():
-                raise HashCollision
-        out[pair] = True
+        common = self.common(a, b)
+        # The hashes' answer is taken as a claim: the bytes must agree up to there, and differ next.
+        right = equal_spans(self.text, a, b, common)
+        at = np.minimum(common, self.width - 1)
+        x, y = self.text[a + at], self.text[b + at]
+        out[pair] = np.where(common == self.width, 0, np.where(x < y, -1, 1))
+        if not (right & ((common == self.width) | (x != y))).all():
+            raise HashCollision
         return out
 
 
@@ -80,25 +106,27 @@ class HashCollision(Exception):
 
 
 def equal_classes(text: np.ndarray, width: int, suffix: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """A number for each suffix, the same for those in the same group that agree on ``width`` bytes. ``group`` ascends."""
+    """A number for each suffix, the same for those in the same group that agree on ``width`` bytes. ``group`` ascends.
+
+    The order that the hashes gave is checked on the bytes between all neighbours; if a collision ever put it wrong, the
+    bytes alone decide.
+    """
     n = len(suffix)
     if not n:
         return np.zeros(0, dtype=np.int64)
     edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     sizes = np.diff(np.append(edge, n))
-    start, size = np.repeat(edge, sizes), np.repeat(sizes, sizes)
     place = np.empty(len(text) + 1, dtype=np.int64)
-    out = np.empty(n, dtype=np.int64)
     try:
         found = Suffixes(text, width)
-        order = found.sort(suffix, start, size)
-        same = found.same_as_next(order, group[1:] == group[:-1])
-        number = np.cumsum(np.concatenate([[0], ~same]))
+        order = found.sort(suffix, np.repeat(edge, sizes), np.repeat(sizes, sizes))
+        step = found.steps(order, group[1:] == group[:-1])
+        if (step > 0).any():
+            raise HashCollision
+        differ = step < 0
     except HashCollision:
         rows = np.lexsort([*(text[suffix + k] for k in range(width - 1, -1, -1)), group])
         order = suffix[rows]
         differ = (text[order[1:, None] + np.arange(width)] != text[order[:-1, None] + np.arange(width)]).any(axis=1) | (group[rows][1:] != group[rows][:-1])
-        number = np.cumsum(np.concatenate([[0], differ]))
-    place[order] = number  # a suffix is in one group only
-    out[:] = place[suffix]
-    return out
+    place[order] = np.concatenate([[0], np.cumsum(differ)])  # a suffix is in one group only
+    return place[suffix]

@@ -10,36 +10,24 @@ from __future__ import annotations
 import ctypes
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 
 BLOCK_BYTES = 1 << 20
 
-_rng = np.random.default_rng(20240229)
-#: A random odd-ish 64-bit value for each byte, and the base of the prefix polynomial with its inverse mod 2**64.
-BYTE_CODE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) mod 2**64, kept for the next call unless the block was unusually long."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        have = np.full(size, base, dtype=np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if size <= 4 * BLOCK_BYTES:
-            _powers[base] = have
-    return have[:n]
+#: The first k bytes of a little-endian number of 8.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_TIMES, _SEED, _SIZE = np.uint64(0x9E3779B97F4A7C15), 0xD1B54A32D192ED03, np.uint64(0x8BB84B93962EACC9)
+#: Longer spans are hashed, and compared, one by one.
+_LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (the public splitmix64 one)."""
+    """A 64-bit finaliser (the public splitmix64 one), which maps no two numbers to one."""
     x = x.astype(np.uint64, copy=True)
     x ^= x >> np.uint64(30)
     x *= np.uint64(0xBF58476D1CE4E5B9)
@@ -49,16 +37,99 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """H with H[j] - H[i] = sum of values[k] * BASE**k for i <= k < j."""
-    out = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * powers(BASE, len(values)), out=out[1:])
+def salt(k: int) -> np.uint64:
+    return np.uint64(_SEED * (k + 1) & (1 << 64) - 1)
+
+
+def absorb(state: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """A step of a hash: different values give different states, and the product's high bits come back to the low ones, so
+    that no structure of a sequence cancels out as it does in a polynomial."""
+    state = (state ^ value) * _TIMES
+    state ^= state >> np.uint64(32)
+    return state
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The little-endian number of the 8 bytes from each place on, and one more; beyond the end are zeros. A view."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def span_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each data[start:end]. Spans of up to 7 bytes have the same only if they are equal."""
+    x, size = eights(data), end - start
+    code = x[start] & _FIRST[np.minimum(size, 8)]
+    code = np.where(size < 8, code | size.astype(np.uint64) << np.uint64(56), code + (size.astype(np.uint64) + np.uint64(1)) * _SIZE)
+    code = mix(code ^ salt(seed))
+    left, at = np.flatnonzero(size > 8), 8
+    while len(left) and at < _LONG:
+        code[left] = absorb(code[left], x[start[left] + at] & _FIRST[np.minimum(size[left] - at, 8)])
+        at += 8
+        left = left[size[left] > at]
+    for i in left.tolist():
+        code[i] ^= np.uint64(xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), seed))
+    long = size > 8
+    code[long] = mix(code[long])
+    return code
+
+
+def sequence_codes(values: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each values[start:end], in as many steps as the longest has values."""
+    size = end - start
+    code = mix(size.astype(np.uint64) + salt(seed))
+    left, at = np.flatnonzero(size > 0), 0
+    while len(left):
+        code[left] = absorb(code[left], values[start[left] + at])
+        at += 1
+        left = left[size[left] > at]
+    return mix(code)
+
+
+def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a : a + size] is data[b : b + size], byte by byte."""
+    x, out = eights(data), np.ones(len(a), dtype=bool)
+    left, at = np.flatnonzero((a != b) & (size > 0)), 0
+    while len(left) and at < _LONG:
+        first = _FIRST[np.minimum(size[left] - at, 8)]
+        out[left] = (x[a[left] + at] & first) == (x[b[left] + at] & first)
+        at += 8
+        left = left[out[left] & (size[left] > at)]
+    for i in left.tolist():
+        out[i] = np.array_equal(data[a[i] : a[i] + size[i]], data[b[i] : b[i] + size[i]])
+    return out
+
+
+def equal_sequences(values: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether values[a : a + size] is values[b : b + size]."""
+    out, left, at = np.ones(len(a), dtype=bool), np.flatnonzero((a != b) & (size > 0)), 0
+    while len(left):
+        out[left] = values[a[left] + at] == values[b[left] + at]
+        at += 1
+        left = left[out[left] & (size[left] > at)]
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The hash of values[start:end], the same wherever the values stand."""
-    return (prefix[end] - prefix[start]) * powers(INVERSE, len(prefix))[start]
+def verified_classes(keys: tuple[np.ndarray, ...], same, content) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries by equal content: an order, the place in it where each class starts, and each entry's class.
+
+    Entries of a class have equal keys, by the first of which they are in order. ``same(i, j)`` compares pairs of entries
+    with equal keys; where it ever finds a difference, ``content(i)`` tells all that share the keys apart.
+    """
+    n = len(keys[0])
+    order = np.lexsort(keys[::-1])
+    new = np.ones(n, dtype=bool)
+    new[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
+    pair = np.flatnonzero(~new[1:])
+    bad = pair[~same(order[pair], order[pair + 1])] if len(pair) else pair
+    if len(bad):
+        start = np.append(np.flatnonzero(new), n)
+        for g in np.unique(np.searchsorted(start, bad, side="right") - 1).tolist():
+            mine = sorted((content(i), i) for i in order[start[g] : start[g + 1]].tolist())
+            order[start[g] : start[g + 1]] = [i for _, i in mine]
+            new[start[g] + 1 : start[g + 1]] = [x[0] != y[0] for x, y in zip(mine[1:], mine, strict=False)]
+    number = np.empty(n, dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), number
 
 
 def word_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +152,7 @@ class Block:
     def __init__(self, data: np.ndarray, bounds: np.ndarray):
         self.data, self.bounds, self.n = data, bounds.astype(np.int64), len(bounds) - 1
         self._words: tuple | None = None
+        self._numbers: np.ndarray | None = None
 
     @classmethod
     def of(cls, texts: pa.Array) -> "Block":
@@ -114,11 +186,32 @@ class Block:
             base = self.bounds[at]
             data = self.data[base : self.bounds[to]]
             start, end = find(data, self.bounds[at : to + 1] - base)
-            prefix = prefix_hash(BYTE_CODE[data])
-            parts.append((start + base, end + base, mix(span_hash(prefix, start, end) + (end - start).astype(np.uint64))))
+            parts.append((start + base, end + base, span_codes(data, start, end)))
             at = to
         return tuple(np.concatenate([p[k] for p in parts] or [np.zeros(0, (np.int64, np.int64, np.uint64)[k])]) for k in range(3))
 
+    @property
+    def numbers(self) -> np.ndarray:
+        """The number of each word among the block's distinct words."""
+        if self._numbers is None:
+            self._numbers = self.distinct(*self.words[:3])[0]
+        return self._numbers
+
+    def distinct(self, start: np.ndarray, end: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each span among the distinct ones, and where each of these comes first; compared byte by byte."""
+        number, seen = pd.factorize(code)
+        first = np.zeros(len(seen), dtype=np.int64)
+        first[number[::-1]] = np.arange(len(number) - 1, -1, -1)
+        size, one = end - start, first[number]
+        long = np.flatnonzero((size > 7) | (size[one] > 7))
+        if (size[long] == size[one[long]]).all() and equal_spans(self.data, start[long], start[one[long]], size[long]).all():
+            return number, first
+        raw = self.data.tobytes()
+        number, _ = pd.factorize(np.array([raw[a:z] for a, z in zip(start.tolist(), end.tolist(), strict=True)], dtype=object))
+        first = np.zeros(int(number.max()) + 1, dtype=np.int64)
+        first[number[::-1]] = np.arange(len(number) - 1, -1, -1)
+        return number, first
+
     def split(self, size: int = BLOCK_BYTES):
         """Blocks of some of the documents, with their words."""
         start, end, code, first = self.words
@@ -176,13 +269,16 @@ def _cut(batches: list[pa.RecordBatch], column: str, size: int):
         at = to
 
 
-def window_hash(code: np.ndarray, width: int) -> np.ndarray:
-    """The hash of each run of ``width`` codes; entry i stands for codes i .. i+width-1. Ignores document bounds."""
+def window_codes(code: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of ``width`` codes, by doubling; entry i stands for codes i .. i+width-1. Ignores document bounds."""
     if len(code) < width:
         return np.zeros(0, dtype=np.uint64)
-    prefix = prefix_hash(code)
-    start = np.arange(len(code) - width + 1)
-    return mix(span_hash(prefix, start, start + width))
+    out, span = mix(code + salt(width)), 1
+    while span < width:
+        step = min(span, width - span)  # the last two spans may overlap
+        out = mix(out[:-step] * _TIMES + out[step:])
+        span += step
+    return out
 
 
 def window_starts(first: np.ndarray, width: int) -> np.ndarray:

@@ -69,9 +69,10 @@ class Queries:
 def distinct(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, word, times) of each distinct word of each document, by document."""
     _, _, code, first = block.words
-    number, seen = pd.factorize(code)
-    key = np.sort(doc_of(first) << 32 | number)
+    key = np.sort(doc_of(first) << 32 | block.numbers)
     at = groups(key)
+    seen = np.zeros(int(block.numbers.max(initial=-1)) + 1, dtype=np.uint64)
+    seen[block.numbers] = code
     return key[at] >> 32, seen[key[at] & 0xFFFFFFFF], np.diff(np.append(at, len(key)))
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-import pandas as pd
 
 from weft.llm.textblock import Block, word_bounds
 
@@ -78,12 +77,10 @@ def distinct_words(block: Block) -> tuple[np.ndarray, list[bytes], np.ndarray]:
 
 
 def _distinct(block: Block, start, end, code) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    number, seen = pd.factorize(code)
-    first = np.zeros(len(seen), dtype=np.int64)
-    first[number[::-1]] = np.arange(len(number) - 1, -1, -1)
+    number, first = block.distinct(start, end, code)
     raw = block.data.tobytes()
     words = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-    return number, words, np.bincount(number, minlength=len(seen))
+    return number, words, np.bincount(number, minlength=len(first))
 
 
 # Classes of bytes for LowerWords: ASCII letters, two-byte letters from U+00C0 (but the signs there), other ASCII signs.
@@ -157,16 +154,19 @@ class LowerWords:
             joined, at = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size
             plain = np.logical_and.reduceat(_letters(joined), at) | np.logical_and.reduceat(_SIGN[joined] & ~_DIGIT[joined], at) if len(words) else np.zeros(0, bool)
         flat, starts = self._each(words, plain)
+        if flat is None:  # a vocabulary whose ends don't tell pre-tokens apart
+            flat, starts = self._each(words, np.zeros(len(words), dtype=bool))
         ids, length = expand(number, flat, starts)
         return ids, np.concatenate([[0], np.cumsum(length)])[np.searchsorted(start, block.bounds)]
 
-    def _each(self, words: list[bytes], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _each(self, words: list[bytes], plain: np.ndarray) -> tuple[np.ndarray | None, np.ndarray | None]:
         simple, odd = np.flatnonzero(plain), np.flatnonzero(~plain)
         texts = [" ".join([words[i].decode() for i in simple[at : at + 500].tolist()]) for at in range(0, len(simple), 500)]
         one = [np.array(x.ids, dtype=np.int32) for k in range(0, len(texts), 64) for x in self.tokenizer.encode_batch_fast(texts[k : k + 64], add_special_tokens=False)]
         one = np.concatenate([*one, np.zeros(0, np.int32)])
         ends = np.flatnonzero(self.ends[one]) + 1
-        assert len(ends) == len(simple)
+        if len(ends) != len(simple) or (len(one) and ends[-1:].tolist() != [len(one)]):
+            return None, None
         two = [x.ids for k in range(0, len(odd), 20_000) for x in self.tokenizer.encode_batch_fast([words[i].decode("utf-8", "replace") for i in odd[k : k + 20_000].tolist()], add_special_tokens=False)]
         size = np.zeros(len(words), dtype=np.int64)
         size[simple] = np.diff(ends, prepend=0)
