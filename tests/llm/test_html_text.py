@@ -1,6 +1,10 @@
+import os
+from html.parser import HTMLParser
+
+import pytest
 from pyspark.sql import functions as F
 
-from weft.llm import html_text
+from weft.llm import html_text, registry
 from weft.llm.html_text import Page
 
 
@@ -39,18 +43,106 @@ def test_most_hosts_may_differ(spark):
     assert {r.page_id: r.text for r in got} == {i: f"text {i} here" for i in range(60)}
 
 
-def test_a_host_outvotes_an_odd_page():
-    odd = Page(page("<article><p>true text</p></article><div id=x><p>a long block that is found on one page only, by chance</p></div>"))
-    assert odd.path[odd.best()] == ">html>body>div"
-    assert odd.text_of(">html>body>article") == "true text"
+def texts(spark, rows):
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.n_chars == len(r.text) for r in got)
+    return {r.page_id: r.text for r in got}
+
+
+def test_a_host_outvotes_an_odd_page(spark):
+    odd = "<div id=x><p>a long block that is found on one page only, by chance</p></div>"
+    rows = [(i, "http://e.example.com/", page(f"<div class=text><p>true text {i}</p></div>" + odd * (i == 3))) for i in range(6)]
+    assert texts(spark, rows) == {i: f"true text {i}" for i in range(6)}
 
 
 def test_broken_markup_is_read_to_its_end():
-    assert Page('<p title="x>a</p><!-- b').text_of(node=0) in ("", "a")
-    assert Page("<div><p>a<div>b</div></div></div>c").text_of(node=0) == "a\nb\nc"
+    assert Page('<p title="x>a</p><!-- b').text({}) in ("", "a")
+    assert Page("<div><p>a<div>b</div></div></div>c").blocks
     assert Page("<" * 2000 + "a" * 2000 + '"' * 2000).blocks
 
 
+KEPT = ["content with-sidebar", "no-sidebar", "col no-sidebar", "has-share-buttons", "search-results", "hidden-xs", "notice-of-award", "tags-heading", "related-work", "post print", "adsorption", "headline", "menuisier"]
+LEFT = ["ad", "ads-2", "cookie-notice", "sidebar left", "site-footer", "commentList", "post-comments", "share-buttons", "related-posts", "nav_bar", "sideBar", "main-menu", "newsletter-box"]
+
+
+def test_names_that_contain_a_word_for_boilerplate(spark):
+    rows, want = [], {}
+    for i, name in enumerate(KEPT + LEFT):
+        body = f"<h1>Title {i}</h1><div class='{name}'><p>inner text of this one</p></div><p>more {i}</p>"
+        for k, wrap in enumerate(("<article>{}</article>", "<main><div>{}</div></main>", "<div class='page'>{}</div>")):
+            rows.append((10 * i + k, f"http://n{i}-{k}.example.com/", page(wrap.format(body))))
+            want[10 * i + k] = f"Title {i}\ninner text of this one\nmore {i}" if name in KEPT else f"Title {i}\nmore {i}"
+        # Around the whole article, on a page that has nothing else.
+        rows.append((10 * i + 3, f"http://n{i}-3.example.com/", page(f"<div class='{name}'><h1>Title {i}</h1><p>all of it</p></div>")))
+        want[10 * i + 3] = f"Title {i}\nall of it"
+    rows.append((900, "http://m.example.com/", page("<article><h2>T</h2><p>text</p><div class='related-reading-tags'><a href=x>one link</a> <a href=y>another link</a></div></article>")))
+    want[900] = "T\ntext"
+    assert texts(spark, rows) == want
+
+
+def test_a_host_with_many_templates(spark):
+    """Seven templates on one host; each page also has a block with the first one's path."""
+    rows, want = [], {}
+    for i in range(42):
+        t = "abcdefg"[i % 7] if i > 14 else "a"
+        teaser = "<div class='a'><p>short teaser</p></div>" if t != "a" else ""
+        rows.append((i, "http://t.example.com/", page(f"<div class='wrap'><div class='{t}'><h1>Page {i}</h1><p>{'its own words ' * 20}{i}</p></div></div>{teaser}")))
+        want[i] = f"Page {i}\n{'its own words ' * 20}{i}"
+    got = texts(spark, rows)
+    assert {k: t.replace("\nshort teaser", "") for k, t in got.items()} == want
+
+
+def test_split_articles(spark):
+    """An article in several containers without an element around it keeps them all, in page order."""
+    rows = [(i, "http://s.example.com/", page(f"<div class='intro'><p>first {i}</p></div><div class='post'><p>second, the longest part of it {i}</p></div><section><h2>third</h2><p>third {i}</p></section>")) for i in range(3)]
+    rows.append((9, "http://alone.example.com/", rows[0][2]))
+    want = {i: f"first {i}\nsecond, the longest part of it {i}\nthird\nthird {i}" for i in range(3)}
+    assert texts(spark, rows) == want | {9: want[0]}
+
+
+def test_comments_longer_than_the_article(spark):
+    rows = [(i, "http://k.example.com/", page(f"<div class='post'><p>short {i}</p></div><div id='comments'><p>{'a reader says very much ' * 30}</p></div><ul><li><a href=x>next page</a></li></ul>")) for i in range(3)]
+    assert texts(spark, rows) == {i: f"short {i}" for i in range(3)}
+
+
+class Slow(HTMLParser):
+    """A plain reader of generated pages: the blocks of their article elements, by the standard parser."""
+
+    def __init__(self, markup):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.now, self.blocks = 0, [], []
+        self.feed(markup)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if tag in ("p", "h1", "article"):
+            self.end()
+        elif tag == "br":
+            self.now.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "article"):
+            self.end()
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.now.append(data)
+
+    def end(self):
+        if words := " ".join("".join(self.now).split()):
+            self.blocks.append(words)
+        self.now = []
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are not here")
+def test_query_against_a_plain_reader(spark):
+    given = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    got = {r.page_id: r.text for r in registry.op6_html_extraction(spark, "/root/testdata/sf0.01").collect()}
+    assert got == {k: "\n".join(Slow(x or "").blocks) for k, x in given.items()}
+
+
 def test_empty_table(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 

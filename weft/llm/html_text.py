@@ -1,11 +1,20 @@
 """Main text of web pages by consensus host paths.
 
-Each page is parsed once to score its containers by the prose right below them.  A page votes for the generalised
-tag-class path of its best container; votes are counted by host in Spark.  Then every page is extracted from the first
-of its host's winning paths that it has, or else from its own best container.
-
-Only the winners that differ from the overall winner are sent to the second pass: broadcast if they are few (their
-number is checked), else joined by host, where Spark may split a host with very many pages.
+Each page is parsed once; the prose right below each of its containers gives the container's score, and the page votes
+for the generalised tag-class path of every container that has prose in blocks.  Votes are counted by host in Spark.
+Then every page is extracted again: the winning path that it has most prose under says where the article is, or else the
+page's own best container.  An article or main element around that is taken whole.  Where there is none, the article is
+all containers with winning paths (on a host with one page, all that have prose in blocks).
+
+What is left out: elements that are never text; navigation, footers, asides, forms and the like by their tags; hidden
+elements; containers whose class, id or role is made of words for boilerplate ("cookie-notice", "sidebar left").  A name
+that only contains such a word ("search-results", "notice-of-award") leaves its container out if that is mostly links, and
+one that says what a container goes with ("no-sidebar", "has-share-buttons") says nothing.  If names would leave nothing of
+a page, they don't count on it, but for text that stands in no block.
+
+A path that one page of a host votes for could only serve that page, which has its own best container; all paths with
+two votes or more are kept.  Only the lists that differ from the most usual one are sent to the second pass: broadcast if
+they are small (their bytes are summed), else joined by host, where Spark may split a host with very many pages.
 
 Defined results.  A null or empty page has the empty text.  Malformed, unclosed and very long markup is read to its
 end.  A null or odd url makes a host of its own ("").  Repeated pages vote each.  An empty table gives an empty table.
@@ -14,6 +23,7 @@ Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections import defaultdict
@@ -21,14 +31,11 @@ from collections import defaultdict
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from weft.llm.shared import cut, small_batches
 
-#: Winners of so many hosts at most are broadcast (a row has some 100 bytes).
-MOST_BROADCAST = 50_000
-#: Paths kept for a host: each with at least this share of its pages' votes.
-PATHS_PER_HOST, LEAST_SHARE = 4, 0.05
+#: Lists of winning paths are broadcast up to so many bytes.
+MOST_BROADCAST = 16 << 20
 
 # Elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,6 +53,15 @@ BOILER_WORDS = frozenset(
     newsletter notice notification overlay pager pagination popup print promo promotion related respond share sharing sidebar signup social
     sponsor sponsored subscribe subscription tags toolbar topbar widget widgets contentinfo complementary search replies reply discussion""".split()
 )
+# Words that go with those for boilerplate, words for an article's own parts, and words that say what a
+# container has beside it.
+PLACE_WORDS = frozenset(
+    """area bar bars block body bottom box button buttons col column container content count desktop fixed form global group holder icon icons inner item items left link links
+    list main mobile module outer page panel post posts primary region right row secondary section shell site slot sticky text top unit wrap wrapper""".split()
+)
+ARTICLE_WORDS = frozenset("article body content entry main page post prose story text".split())
+BESIDE_WORDS = frozenset("has have is no not with without".split())
+PROSE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt pre blockquote td figcaption".split())
 _TAG = re.compile(
     r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>""", re.S
 )
@@ -53,31 +69,67 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+@functools.lru_cache(100_000)
+def named(value: str) -> tuple[int, str]:
+    """How a class, id or role marks its element (0 not, 1 perhaps, 2 as boilerplate), and its words without numbers."""
+    tokens = re.sub(r"\d+", "#", re.sub(r"([a-z])([A-Z])", r"\1-\2", value)).lower().split()
+    mark, own = 0, False
+    for token in tokens:
+        parts = [x for x in re.split(r"[-_#:]+", token) if x]
+        bad = [x in BOILER_WORDS for x in parts]
+        if "".join(parts) in BOILER_WORDS or any(bad) and all(b or x in PLACE_WORDS for x, b in zip(parts, bad, strict=True)):
+            mark = 2
+        elif any(bad) and not BESIDE_WORDS & set(parts):
+            mark = max(mark, 1)
+        own |= len(parts) == 1 and parts[0] in ARTICLE_WORDS
+    return min(mark, 1) if own else mark, ".".join(sorted(set(tokens)))
+
+
 class Page:
     """The containers of a page with their paths, and its blocks of text with the container each is in."""
 
     def __init__(self, markup: str):
-        # For each container: parent, path, boilerplate by itself or above, tag.
-        self.parent, self.path, self.boiler, self.tag = [-1], [""], [False], [""]
+        # For each container: parent, path, tag, whether its tag or style leaves it out, how its names mark it.
+        self.parent, self.path, self.tag, self.out, self.mark = [-1], [""], [""], [False], [0]
         self.blocks: list[tuple[int, str, int]] = []
         self._read(markup)
+        self.boiler = self._boiler(True)
+        if not any(not self.boiler[k] for k, _, _ in self.blocks):
+            self.boiler = self._boiler(False)
+
+    def _boiler(self, by_name: bool) -> list[bool]:
+        """For each container whether it is left out, by itself or with one around it."""
+        size, linked, prose = ([0] * len(self.tag) for _ in range(3))
+        for node, words, links in self.blocks:
+            size[node] += len(words)
+            linked[node] += links
+            prose[node] += self.tag[node] in PROSE_TAGS
+        for k in range(len(self.tag) - 1, 0, -1):  # children come after their parents
+            for total in (size, linked, prose):
+                total[self.parent[k]] += total[k]
+        boiler = []
+        for k, up in enumerate(self.parent):
+            named = self.mark[k] == 2 and (by_name or not prose[k]) or self.mark[k] and 2 * linked[k] > size[k]
+            boiler.append(bool(self.out[k] or named or up >= 0 and boiler[up]))
+        return boiler
 
     def _open(self, stack: list[int], tag: str, attributes: str) -> None:
         top = stack[-1]
-        label, boiler = tag, self.boiler[top] or tag in BOILER_TAGS
-        boiler |= tag == "header" and not any(self.tag[k] in ("article", "main") for k in stack)
+        label, out, mark = tag, tag in BOILER_TAGS, 0
+        out |= tag == "header" and not any(self.tag[k] in ("article", "main") for k in stack)
         for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
             name, value = name.lower(), value.strip("\"'")
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
-                boiler = True
+                out = True
             elif name in ("class", "id", "role"):
-                words = re.sub(r"\d+", "#", re.sub(r"([a-z])([A-Z])", r"\1-\2", value)).lower().split()
-                boiler |= tag not in ("body", "html", "article", "main") and any(x in BOILER_WORDS for w in words for x in re.split(r"[-_#:]+", w))
+                how, words = named(value)
+                mark = max(mark, how)
                 if name == "class" and words:
-                    label += "." + ".".join(sorted(set(words)))
+                    label += "." + words
         self.parent.append(top)
         self.path.append(f"{self.path[top]}>{label}")
-        self.boiler.append(boiler)
+        self.out.append(out)
+        self.mark.append(0 if tag in ("body", "html", "article", "main") else mark)
         self.tag.append(tag)
         stack.append(len(self.tag) - 1)
 
@@ -169,19 +221,35 @@ class Page:
         scores = self.scores()
         return max(scores, key=lambda k: (scores[k], self.tag[k] in ("article", "main"), -k), default=-1)
 
+    def content(self) -> set[int]:
+        """The containers that own blocks of prose which aren't mostly links."""
+        return {self.owner(node) for node, words, linked in self.blocks if not self.boiler[node] and self.tag[node] in PROSE_TAGS and 2 * linked < len(words)}
+
     def whole(self, node: int) -> int:
-        """The nearest article or main around a container, which has all of a text's parts; else the container."""
-        around = node
-        while around >= 0 and self.tag[around] not in ("article", "main"):
-            around = self.parent[around]
-        return node if around < 0 else around
-
-    def text_of(self, path: str | None = None, node: int = -1) -> str:
-        """The blocks of the article around ``node``, or around every container with that path, without boilerplate."""
-        tops = {self.whole(k) for k in range(len(self.tag)) if (k == node if path is None else self.path[k] == path)}
-        inside: dict[int, bool] = {-1: False}
-        for k in range(len(self.tag)):
-            inside[k] = inside[self.parent[k]] or k in tops
+        """The nearest article or main around a container, or -1."""
+        while node >= 0 and self.tag[node] not in ("article", "main"):
+            node = self.parent[node]
+        return node
+
+    def regions(self, winners: dict[str, int]) -> set[int]:
+        """The containers that hold the article; ``winners`` are the host's paths with their ranks."""
+        scores: dict[str, float] = defaultdict(float)
+        for k, x in self.scores().items():
+            if self.path[k] in winners:
+                scores[self.path[k]] += x / (2 + winners[self.path[k]])
+        if max(scores.values(), default=0) > 0:
+            path = max(scores, key=lambda p: (scores[p], -winners[p]))
+            found = {k for k in range(len(self.tag)) if self.path[k] == path}
+        else:
+            found = {k} if (k := self.best()) >= 0 else set()
+        wholes = {w for k in found if (w := self.whole(k)) >= 0}
+        return wholes or found | {k for k in self.content() if not winners or self.path[k] in winners}
+
+    def text(self, winners: dict[str, int]) -> str:
+        """The blocks of the article in page order, without what is left out."""
+        tops, inside = self.regions(winners), [False] * len(self.tag)
+        for k, up in enumerate(self.parent):
+            inside[k] = k in tops or up >= 0 and inside[up]
         return "\n".join(words for k, words, _ in self.blocks if inside[k] and not self.boiler[k])
 
 
@@ -190,27 +258,26 @@ def host_of(url):
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """(host, path, score): the best container of each page that has any prose."""
+    """(host, path, best): each page's containers with prose in blocks and its best one, a path once a page."""
 
     def of(batches):
         for part in batches:
-            found = [Page(x or "") for x in part["html"]]
-            best = [p.best() for p in found]
-            path = [p.path[k] if k >= 0 else None for p, k in zip(found, best, strict=True)]
-            score = [p.scores()[k] if k >= 0 else 0.0 for p, k in zip(found, best, strict=True)]
-            yield pd.DataFrame({"host": part["host"], "path": path, "score": score}).dropna()
+            rows = []
+            for host, markup in zip(part["host"], part["html"], strict=True):
+                page = Page(markup or "")
+                best = page.best()
+                paths = {page.path[k] for k in page.content() | ({best} if best >= 0 else set())}
+                rows += [(host, p, int(best >= 0 and p == page.path[best])) for p in paths]
+            yield pd.DataFrame(rows, columns=["host", "path", "best"])
 
-    return pages.select("host", "html").mapInPandas(of, "host string, path string, score double")
+    return pages.select("host", "html").mapInPandas(of, "host string, path string, best long")
 
 
 def winners(pages: DataFrame) -> DataFrame:
-    """(host, paths): a host's paths by votes, most first."""
-    counted = votes(pages).groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"))
-    order = Window.partitionBy("host").orderBy(F.desc("n"), F.desc("score"), "path")
-    ranked = counted.withColumn("k", F.row_number().over(order)).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("host")))
-    kept = ranked.filter((F.col("k") == 1) | ((F.col("k") <= PATHS_PER_HOST) & (F.col("share") >= LEAST_SHARE)))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("k", "path"))), lambda x: x["path"])
-    return cut(kept.groupBy("host").agg(listed.alias("paths")))
+    """(host, paths): the paths that two pages or more of the host vote for, those that are most often best first."""
+    counted = votes(pages).groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("best").alias("best")).filter("n > 1")
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("best")).alias("best"), (-F.col("n")).alias("n"), F.col("path"))))
+    return cut(counted.groupBy("host").agg(F.transform(listed, lambda x: x["path"]).alias("paths")))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -219,16 +286,16 @@ def extract(pages: DataFrame) -> DataFrame:
     won = winners(rows)
     usual = won.groupBy("paths").count().orderBy(F.desc("count"), "paths").limit(1).collect()
     default = list(usual[0].paths) if usual else []
-    odd = won.filter(F.col("paths") != F.array(*map(F.lit, default)).cast("array<string>")) if usual else won
-    odd = F.broadcast(odd) if odd.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else odd
+    # A host without winners is told from one with the usual ones by an empty list.
+    hosts = rows.select("host").distinct().join(won, "host", "left").withColumn("paths", F.coalesce("paths", F.array().cast("array<string>")))
+    odd = cut(hosts.filter(F.col("paths") != F.array(*map(F.lit, default)).cast("array<string>")))
+    size = odd.agg(F.sum(F.length("host") + F.length(F.array_join("paths", "")) + 64)).first()[0] or 0
+    odd = F.broadcast(odd) if size <= MOST_BROADCAST else odd
 
     def of(batches):
+        ranks = functools.lru_cache(4096)(lambda paths: {p: k for k, p in enumerate(paths)})
         for part in batches:
-            texts = []
-            for markup, paths in zip(part["html"], part["paths"], strict=True):
-                page = Page(markup or "")
-                text = next((t for p in (default if paths is None else paths) if (t := page.text_of(p))), "")
-                texts.append(text or (page.text_of(node=k) if (k := page.best()) >= 0 else ""))
+            texts = [Page(markup or "").text(ranks(tuple(default if paths is None else paths))) for markup, paths in zip(part["html"], part["paths"], strict=True)]
             yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     joined = rows.join(odd, "host", "left").select("page_id", "url", "html", "paths")
