@@ -4,7 +4,8 @@ Documents become token ids closed by id 0; longer ones are cut into full pieces
 lengths, of which there are at most ``capacity`` many, so that a histogram of them is small whatever the corpus:
 
 1. patterns, multisets of a few lengths that fill a sequence (nearly), are enumerated from the histogram;
-2. non-negative least squares fits how often each pattern is used, and the counts are rounded down;
+2. non-negative least squares fits how often each pattern is used, and the counts are rounded: down first, then up one by
+   one by their remainders, as long as there are pieces for them;
 3. the pieces left over are packed best-fit decreasing on the histogram, in whole multiples;
 4. every piece gets its place from its rank among the pieces of its length, in Spark.
 
@@ -34,6 +35,8 @@ from weft.llm.textblock import blocks
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: A piece's rank is counted within SLICES slices of its length; a slice of a length has 1/SLICES of its pieces.
 SLICES = 512
+#: A fitted pattern is used where it leaves fewer places free.
+SLACK = 8
 
 
 def pieces(documents: DataFrame, vocabulary: str, capacity: int, close: int = 0) -> DataFrame:
@@ -62,7 +65,8 @@ def patterns(lengths: np.ndarray, capacity: int, per_length: int = 12, most: int
     """Multisets of lengths that there are, with the largest part in front, that fill the capacity as well as any found.
 
     For each length as largest part: the best partner (two parts), and for a spread of second parts the best third;
-    and repeats of one length with the best filler, up to ``most`` parts.
+    and repeats of one length with the best filler, up to ``most`` parts.  ``per_length`` second parts are tried for each.
+    What no pattern covers is packed with the rest, so that these bounds cost fill, and never pieces.
     """
     have = np.sort(lengths)
     best = np.zeros(capacity + 1, dtype=np.int64)  # the largest length there is that isn't above
@@ -134,11 +138,16 @@ def plan(histogram: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], in
         left[capacity] = 0
     found = patterns(np.flatnonzero(left), capacity) if left.any() else []
     if found:
-        fit = np.floor(nonnegative_fit(found, left.astype(float)) + 1e-6).astype(np.int64)
-        for k in np.argsort([sum(p) for p in found], kind="stable")[::-1].tolist():
-            if fit[k] and sum(found[k]) > capacity - 8:
+        fitted = nonnegative_fit(found, left.astype(float))
+        whole = np.floor(fitted + 1e-6).astype(np.int64)
+        # Patterns that leave more than a few places free are left to the search for the rest.
+        full = np.array([sum(p) for p in found]) > capacity - SLACK
+        by_fill = np.argsort([sum(p) for p in found], kind="stable")[::-1]
+        by_rest = np.lexsort((np.arange(len(found)), whole - fitted))
+        for order, times in ((by_fill, whole), (by_rest, (fitted - whole > 1e-3).astype(np.int64))):
+            for k in order[full[order] & (times[order] > 0)].tolist():
                 part = _counted(found[k])
-                n = min(int(fit[k]), _fits(part, left))
+                n = min(int(times[k]), _fits(part, left))
                 if n:
                     out.append((found[k], n))
                     for x, m in part.items():

@@ -1,7 +1,7 @@
 """Quality rules from tokeniser fertility.
 
-Public vocabularies are measured on whole texts: characters per token, the share of tokens that are single fallback
-bytes, and the entropy of a text's tokens.  A text outside the bands of its language, or of its script where the
+Public vocabularies are measured on whole texts: characters per token of a vocabulary of pieces and of one of bytes, the
+share of tokens that are single fallback bytes, and the entropy of a text's tokens.  A text outside the bands of its language, or of its script where the
 language has no bands, is rejected.  Tokenizers are only applied, never trained.
 
 Defined results.  Null or empty text: all counts 0, base rule fails, not kept.  Very long texts are measured whole.
@@ -26,12 +26,19 @@ from weft.llm.textblock import Block, blocks
 
 @dataclass(frozen=True)
 class Band:
-    """What a text may have. ``evenness`` is entropy over the most it could be for the number of tokens."""
+    """What a text may have: characters per token of both vocabularies (least, most), the share of byte tokens (most), and
+    evenness (least), which is entropy over the most it could be for the number of tokens."""
 
     chars_per_token: tuple[float, float]
+    chars_per_byte_token: tuple[float, float]
     byte_share: float
     evenness: float
 
+    def holds(self, measures: dict[str, float]) -> bool:
+        a, b = self.chars_per_token, self.chars_per_byte_token
+        inside = a[0] <= measures["chars_per_token"] <= a[1] and b[0] <= measures["chars_per_byte_token"] <= b[1]
+        return inside and measures["byte_share"] <= self.byte_share and measures["evenness"] >= self.evenness
+
 
 @dataclass(frozen=True)
 class FertilityRules:
@@ -106,8 +113,7 @@ def judged(block: Block, langs: list, rules: FertilityRules) -> dict:
     inside = []
     for k, (lang, script) in enumerate(zip(langs, scripts, strict=True)):
         band = rules.by_language.get(lang) or rules.by_script.get(script)
-        low, high = band.chars_per_token if band else (0, np.inf)
-        inside.append(band is None or (low <= measures["chars_per_token"][k] <= high and measures["byte_share"][k] <= band.byte_share and measures["evenness"][k] >= band.evenness))
+        inside.append(band is None or band.holds({name: x[k] for name, x in measures.items()}))
     return stats | measures | {"base_failed": failed, "kept": ~failed & np.array(inside, dtype=bool), "script": scripts}
 
 

@@ -4,7 +4,8 @@
 2. On a bounded sample of labelled rows the driver boosts small trees on binned statistics.  Every path from a root to
    a node is a rule: a conjunction of bounds on statistics.
 3. Lasso logistic regression, by accelerated proximal gradient, gives most rules the weight 0; the penalty is the one
-   that does best on a fifth of the sample that is left out of its fit.
+   that does best on a fifth of the sample that neither the trees nor the compared weights have seen.  The final weights
+   are fitted to the whole sample.
 4. The rules that are left become Spark column expressions; all documents are scored in the JVM.
 
 Defined results.  A null text is scored as the empty text.  Rows are scored each alone, repeated ones alike.  A null
@@ -66,7 +67,7 @@ def statistics(block: Block) -> np.ndarray:
     per = lambda flags: np.bincount(doc[flags], minlength=block.n)
     lower_next = np.zeros(len(start), dtype=bool)
     at = np.minimum(start + 1, max(len(data) - 1, 0))
-    lower_next[:] = (data[at] >= 97) & (data[at] <= 122) if len(data) else False
+    lower_next[:] = (start + 1 < end) & (data[at] >= 97) & (data[at] <= 122) if len(data) else False
     letters = ((data | 32) >= 97) & ((data | 32) <= 122) | (data >= 0x80)
     letter_sum = np.concatenate([[0], np.cumsum(letters)])
     odd = 2 * (letter_sum[end] - letter_sum[start]) < end - start
@@ -198,7 +199,10 @@ def fit(x: np.ndarray, y: np.ndarray, how: Settings = Settings()) -> Ensemble:
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
         return Ensemble(float(np.log(share / (1 - share))), ())
-    rules = boost(x, y, how)
+    # A fifth is kept from the trees as well as from the weights that the penalties are compared by.
+    valid = np.random.default_rng(how.seed).random(len(y)) < 0.2
+    grown = ~valid if y[~valid].min(initial=1) < y[~valid].max(initial=0) else np.ones(len(y), dtype=bool)
+    rules = boost(x[grown], y[grown], how)
     z = np.stack([holds(x, r) for r in rules], axis=1).astype(np.float32) if rules else np.zeros((len(y), 0), np.float32)
     spread = z.std(axis=0)
     keep = np.flatnonzero(spread > 0.005)
@@ -206,12 +210,11 @@ def fit(x: np.ndarray, y: np.ndarray, how: Settings = Settings()) -> Ensemble:
     middle = z.mean(axis=0)
     z -= middle
     z /= spread
-    valid = np.random.default_rng(how.seed).random(len(y)) < 0.2
     path, w = [], np.zeros(z.shape[1] + 1)
     for penalty in how.penalties:
-        w = lasso(z[~valid], y[~valid], penalty, w)
+        w = lasso(z[grown], y[grown], penalty, w)
         p = 1 / (1 + np.exp(-(w[0] + z[valid] @ w[1:])))
-        loss = -np.mean(np.where(y[valid] == 1, np.log(p + 1e-12), np.log(1 - p + 1e-12)))
+        loss = -np.mean(np.where(y[valid] == 1, np.log(p + 1e-12), np.log(1 - p + 1e-12))) if valid.any() else 0.0
         path.append((loss, penalty))
     best = min(path)[1]
     w = np.zeros(z.shape[1] + 1)
