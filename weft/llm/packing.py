@@ -4,8 +4,8 @@ Documents become token ids closed by id 0; longer ones are cut into full pieces
 lengths, of which there are at most ``capacity`` many, so that a histogram of them is small whatever the corpus:
 
 1. patterns, multisets of a few lengths that fill a sequence (nearly), are enumerated from the histogram;
-2. non-negative least squares fits how often each pattern is used, and the counts are rounded: down first, then up one by
-   one by their remainders, as long as there are pieces for them;
+2. non-negative least squares fits how often each pattern is used, and the counts are rounded: down first, then those of
+   full patterns up by their remainders, from a half on, as long as there are pieces for them;
 3. the pieces left over are packed best-fit decreasing on the histogram, in whole multiples;
 4. every piece gets its place from its rank among the pieces of its length, in Spark.
 
@@ -35,8 +35,8 @@ from weft.llm.textblock import blocks
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: A piece's rank is counted within SLICES slices of its length; a slice of a length has 1/SLICES of its pieces.
 SLICES = 512
-#: A fitted pattern is used where it leaves fewer places free.
-SLACK = 8
+#: A fitted pattern is used where it leaves no more places free.
+SLACK = 7
 
 
 def pieces(documents: DataFrame, vocabulary: str, capacity: int, close: int = 0) -> DataFrame:
@@ -140,12 +140,12 @@ def plan(histogram: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], in
     if found:
         fitted = nonnegative_fit(found, left.astype(float))
         whole = np.floor(fitted + 1e-6).astype(np.int64)
-        # Patterns that leave more than a few places free are left to the search for the rest.
-        full = np.array([sum(p) for p in found]) > capacity - SLACK
+        # Patterns that leave more than a few places free are left to the search for the rest; those rounded up must be full.
+        size = np.array([sum(p) for p in found])
         by_fill = np.argsort([sum(p) for p in found], kind="stable")[::-1]
         by_rest = np.lexsort((np.arange(len(found)), whole - fitted))
-        for order, times in ((by_fill, whole), (by_rest, (fitted - whole > 1e-3).astype(np.int64))):
-            for k in order[full[order] & (times[order] > 0)].tolist():
+        for order, times, least in ((by_fill, whole, capacity - SLACK), (by_rest, (fitted - whole >= 0.5).astype(np.int64), capacity)):
+            for k in order[(size[order] >= least) & (times[order] > 0)].tolist():
                 part = _counted(found[k])
                 n = min(int(times[k]), _fits(part, left))
                 if n:

@@ -3,8 +3,7 @@
 Queries are texts, taken whole as sets of words; every document is searched.  Statistics are global: the number of
 documents, their mean length, and for each word of a query the documents that have it.
 
-A shard is a task's share of the documents, indexed some thousand documents at a time, so that memory doesn't follow the
-shard.  Documents of an index are put in order of language and length and cut into blocks.  Words that many documents
+A shard is a partition of the scan, indexed some thousand documents at a time, so that memory doesn't follow the shard.  Documents of an index are put in order of language and length and cut into blocks.  Words that many documents
 have are kept as columns of impacts with the largest impact for each block; other words are kept as postings.  For each
 query, the exact sum over its postings and the block maxima of its frequent words bound what a block can reach.  Blocks
 that can't reach the query's current k-th score, which carries over from index to index, are skipped; the others are
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.repeats import groups
-from weft.llm.shared import small_batches
+from weft.llm.shared import cut, small_batches
 from weft.llm.stats import doc_of
 from weft.llm.textblock import Block, blocks
 
@@ -278,9 +277,12 @@ def search_round(documents: DataFrame, queries: Queries, how: Search) -> DataFra
         if sum(b.num_rows for b in waiting):
             yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
 
-    # As many shards as the cluster has cores twice over, whatever the input: fewer scores to merge, and k-th scores rise sooner.
-    shards = max(1, 2 * context.defaultParallelism)
-    return documents.filter("doc_id is not null").coalesce(shards).mapInArrow(lambda batches: of(sliced(batches)), RESULT)
+    # Shards are the scan's partitions, whose size doesn't depend on the input's. What they found is written before the next
+    # round, so that one round's broadcasts are held at a time, and a lost executor costs its shards of one round.
+    found = cut(documents.filter("doc_id is not null").mapInArrow(lambda batches: of(sliced(batches)), RESULT))
+    terms.destroy()
+    given.destroy()
+    return found
 
 
 def search(documents: DataFrame, queries: DataFrame, how: Search = Search()) -> DataFrame:
