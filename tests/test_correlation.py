@@ -109,3 +109,19 @@ def test_nested_loops_against_running_once_for_each_row(spark, seed):
 
         want = run(outer, data["a"], below, 4 if inner in ("INNER", "LEFT") else 2)
         assert sorted(got_, key=str) == sorted(want, key=str), (outer, inner)
+
+
+def test_compiling_grows_little_with_depth(spark, monkeypatch):
+    """A receiver in a receiver in a receiver: each node is compiled a few times, not twice as often for each level."""
+    calls = []
+    own = Compiler.compile
+    monkeypatch.setattr(Compiler, "compile", lambda self, query, scope=None: calls.append(1) or own(self, query, scope))
+    seen = []
+    for depth in (1, 3, 5):
+        q = where(emp("x"), cmp("x.id", "=", ref("e0.id")))
+        for k in range(depth)[::-1]:
+            q = join("LEFT_SEMI", "NESTED_LOOP", emp(f"e{k}"), q if k == depth - 1 else where(q, cmp(f"e{k + 1}.id", "=", ref(f"e{k}.id"))))
+        calls.clear()
+        assert got(spark, q, "e0.name") == [("ana",), ("bob",), ("cid",), ("dan",)]
+        seen.append(len(calls))
+    assert seen[2] <= 12 * seen[0]

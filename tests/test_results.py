@@ -6,7 +6,7 @@ import io
 import pytest
 
 from tests.graphs import *  # noqa: F403
-from tests.test_documents import session
+from tests.test_documents import build, session
 from weft.errors import PlanError
 from weft.sources import sniff, tables, xml_table
 from weft.streaming import export
@@ -23,6 +23,27 @@ def test_pages_streams_and_schemas(spark):
         run.page(s, 10, -1, 5)
 
 
+def test_pages_go_on_where_the_last_one_ended(spark):
+    n = 23
+    s = build([g.AddTable(1, memory("t", [m.Column("k", "INT", True, False)], [(k,) for k in range(n)])), g.AddNode(1, m.TableNode(1, "t")), g.AddNode(2, m.SortNode((m.SortKey("t.k", False),))), g.Connect(g.Edge(1, 2))])
+    run, want = Runner(spark), list(range(n))[::-1]
+    read = lambda at, size: [r["k"] for r in run.page(s, 2, at, size)]
+    assert [read(at, 5) for at in range(0, 30, 5)] == [want[at : at + 5] for at in range(0, 30, 5)]
+    assert read(7, 4) == want[7:11] and read(11, 2) == want[11:13] and read(7, 2) == want[7:9] and read(9, 90) == want[9:]
+
+
+def test_csv_folders(spark, tmp_path):
+    """Files of a folder have a header each; rows follow the files' names, whatever Spark reads first."""
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "b.csv").write_text("# b\nid,name\n" + "".join(f"{k},b{k}\n" for k in range(500)))
+    (tmp_path / "t" / "a.csv").write_text("# a\nid,name\n1,a1\n2,a2\n")
+    spec = lambda path: m.CsvTable("t", str(path), (m.Column("id", "INT"), m.Column("name", "STRING")), ",", '"', 2)
+    assert rows(spark, table(spec(tmp_path / "t"), "t")) == [(1, "a1"), (2, "a2"), *((k, f"b{k}") for k in range(500))]
+    (tmp_path / "t" / "c.csv").write_text("# c\nname,id\nx,1\n")
+    with pytest.raises(PlanError, match="different headers"):
+        rows(spark, table(spec(tmp_path / "t"), "t"))
+
+
 def test_problems(spark):
     s, find = session(), lambda s: [(p.node, p.message) for p in Runner(spark).problems(s)]
     assert find(s) == []

@@ -26,6 +26,10 @@ from weft.plans.graph import Query
 from weft.sources import tables
 
 
+#: Bytes of a partition of a join's build side up to which it is hashed; bytes of rows that one task may number.
+HASH_BYTES, ONE_TASK = 64 << 20, 64 << 20
+
+
 @dataclass(frozen=True)
 class Options:
     """Where behaviours differ between engines; the defaults are those of SQL."""
@@ -36,7 +40,7 @@ class Options:
     truncate_avg: bool = False  #: the average of whole numbers is cut to a whole number
     bag_union: bool = False  #: hash union keeps duplicates of either side
     xor_empty_is_true: bool = False  #: an empty side of XOR counts as true
-    partitioned_row_numbers: bool = False  #: number rows over many partitions, through the shared folder
+    partitioned_row_numbers: bool | None = None  #: number rows over many partitions, through the shared folder; None: above ONE_TASK bytes
 
 
 @dataclass
@@ -63,6 +67,11 @@ class Scope:
     domain: Domain | None = None
     noted: dict[str, Field] = field(default_factory=dict)
 
+    @property
+    def trial(self) -> bool:
+        """Whether a receiver is compiled only for its columns and for what it reads."""
+        return bool(self.providers) and self.domain is None
+
     def find(self, reference: str) -> Field | None:
         return next((f for p in self.providers if (f := p.find(reference))), None)
 
@@ -73,17 +82,24 @@ NARROW = (m.FilterNode, m.ScanNode, m.MaterializeNode, m.MemoizeNode, m.HashInde
 class Compiler:
     def __init__(self, spark: SparkSession, options: Options = Options()):
         self.spark, self.options = spark, options
+        self._opened: dict[tuple, Relation] = {}
 
     def compile(self, query: Query, scope: Scope | None = None) -> Relation:
         scope = scope or Scope()
         node = query.node
         if isinstance(node, m.TableNode):
-            return tables.open_table(self.spark, query.table, node.alias, self.options)
+            return self._table(query.table, node.alias)
         if isinstance(node, m.JoinNode | m.CrossNode):
             return self._join(query, scope)
         inputs = [self.compile(q, scope) for q in query.inputs]
         return getattr(self, "_" + node.kind)(node, *inputs, scope=scope)
 
+    def _table(self, table: m.Table, alias: str) -> Relation:
+        """A table is opened once; each use has columns of its own."""
+        if (table, alias) not in self._opened:
+            self._opened[table, alias] = tables.open_table(self.spark, table, alias, self.options)
+        return self._opened[table, alias].renamed()
+
     # Outer columns and domains
 
     def _resolver(self, relation: Relation | None, scope: Scope):
@@ -245,7 +261,8 @@ class Compiler:
 
     def _rowNumber(self, node: m.RowNumberNode, rel: Relation, scope: Scope) -> Relation:
         name = fresh()
-        if self.options.partitioned_row_numbers and not rel.domain:
+        partitioned = self.options.partitioned_row_numbers
+        if not rel.domain and (self._bytes(rel.df) > ONE_TASK if partitioned is None else partitioned):
             df = self._numbered(rel, name, node.start)
         else:
             window = Window.partitionBy(*rel.domain.values()).orderBy(*rel.ordering())
@@ -302,8 +319,17 @@ class Compiler:
     _materialize = _memoize = _scan = _same
 
     def _hashIndex(self, node, rel: Relation, scope: Scope) -> Relation:
-        """An index for look-ups: a join builds its hash table on this side where Spark can."""
-        return rel.with_(df=rel.df.hint("shuffle_hash"))
+        """An index for look-ups: a join builds its hash table on this side where Spark can, and a task can hold it."""
+        return rel.with_(df=rel.df.hint("shuffle_hash")) if self._hashable(rel.df) else rel
+
+    @staticmethod
+    def _bytes(df: DataFrame) -> int:
+        """Spark's estimate of a frame's size, very large where it has none; no job runs."""
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+    def _hashable(self, df: DataFrame) -> bool:
+        """Whether each partition of a shuffle is small enough for a hash table in memory; a sort-merge join spills."""
+        return self._bytes(df) <= HASH_BYTES * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     # Two inputs
 
@@ -357,15 +383,20 @@ class Compiler:
         return provider.with_(df=df.select(*provider.df.columns, *receiver.domain.values()), domain=provider.domain | receiver.domain, truth=False)
 
     def _receive(self, provider: Relation, query: Query, scope: Scope, kind: str):
-        """The receiver for this provider: (provider, receiver, further predicate, tests on outer values)."""
+        """The receiver for this provider: (provider, receiver, further predicate, tests on outer values).
+
+        A trial tells which outer columns the receiver reads; receivers within a trial are only tried, too, so that a node
+        is compiled as often as it has receivers around it, and not twice as often for each.
+        """
         inner = Scope((*scope.providers, provider))
         trial = self.compile(query, inner)
         own = [k for k in inner.noted if k in provider.df.columns]
         up = [k for k in inner.noted if k not in own]
         scope.noted.update({k: inner.noted[k] for k in up})
-        if not inner.noted or (scope.domain is None and up):
-            # Nothing outer is read; or this is a trial itself, in which only what is read matters.
+        if scope.trial:
             return provider, trial.renamed().with_(domain={}), None, []
+        if not inner.noted:
+            return provider, self.compile(query).renamed(), None, []
         if not up and not provider.domain and (chain := self._filters_only(query, provider)) is not None:
             return provider, *chain, []
         if kind not in ("INNER", "LEFT_SEMI"):
@@ -393,10 +424,9 @@ class Compiler:
             chain.append(at.node)
             at = at.inputs[0]
         probe = Scope((provider,))
-        base = self.compile(at, probe)
-        if probe.noted or base.truth:
+        if self.compile(at, probe).truth or probe.noted:
             return None
-        base = base.renamed()
+        base = self.compile(at).renamed()
         predicate = None
         for node in reversed(chain):
             if isinstance(node, m.FilterNode):
@@ -413,12 +443,13 @@ class Compiler:
 
     def _joined(self, left: Relation, right: Relation, tests: list[Column], kind: str, hint: str | None) -> Relation:
         a, b = left.df, right.df
-        if hint and tests:
+        if tests and (hint == "merge" or hint and self._hashable(b)):
             b = b.hint(hint)
         how = {"INNER": "inner", "LEFT": "left", "RIGHT": "right", "FULL": "full", "LEFT_SEMI": "left_semi", "LEFT_ANTI": "left_anti", "RIGHT_SEMI": "left_semi", "RIGHT_ANTI": "left_anti"}[kind]
         kept = {"LEFT_SEMI": left, "LEFT_ANTI": left, "RIGHT_SEMI": right, "RIGHT_ANTI": right}.get(kind)
         if kept is right:
             a, b = b, a
+        # Without an equality among the tests, Spark compares each row with each of the other side: what a theta join asks.
         if tests:
             df = a.join(b, tests, how)
         elif kept is not None or kind != "INNER":

@@ -254,6 +254,22 @@ add(
     ),
     "SELECT * FROM customer WHERE EXISTS (SELECT 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_suppkey = c_custkey)",
 )
+add(
+    "two_level_anti",
+    lambda t: join(
+        "LEFT_ANTI", "NESTED_LOOP", t.customer("c"),
+        join("LEFT_SEMI", "NESTED_LOOP", t.orders("o"), where(t.lineitem("l"), cmp("l.l_orderkey", "=", ref("o.o_orderkey")), cmp("l.l_suppkey", "=", ref("c.c_custkey")))),
+    ),
+    "SELECT * FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_suppkey = c_custkey)",
+)
+add(
+    "two_level_left",
+    lambda t: join(
+        "LEFT", "NESTED_LOOP", t.region("r"),
+        join("LEFT", "NESTED_LOOP", where(t.nation("n"), cmp("n.n_regionkey", "=", ref("r.r_regionkey"))), where(t.supplier("s"), cmp("s.s_nationkey", "=", ref("n.n_nationkey")), cmp("s.s_suppkey", ">", ref("r.r_regionkey")))),
+    ),
+    "SELECT r.*, n.*, s.* FROM region r LEFT JOIN nation n ON n_regionkey = r_regionkey LEFT JOIN supplier s ON s_nationkey = n_nationkey AND s_suppkey > r_regionkey",
+)
 add("reference", lambda t: op(m.CrossNode(), t.nation("n"), op(m.ReferenceNode(("n.n_regionkey", "n.n_name")))), "SELECT *, n_regionkey AS n_n_regionkey, n_name AS n_n_name FROM nation")
 
 add(
@@ -295,6 +311,36 @@ def csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Compiler(spark).compile(where(table(spec, "n"), cmp("n.region", ">", 0))).output()
 
 
+def csv_folder_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files of one folder, each with notes and a header, in the other order of their names than of their rows; empty values."""
+    folder = _folder(spark)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", F.when(F.col("props").isNotNull(), F.col("value")).alias("value"))
+    lines = events.select("event_type", F.concat_ws(",", "event_id", F.concat(F.lit('"'), "event_type", F.lit('"')), F.coalesce(F.col("value").cast("string"), F.lit(" "))).alias("value"))
+    head = spark.createDataFrame([("notes",), ("Id,kind,amount",)], "value string").coalesce(1)
+    for k, only in enumerate((F.col("event_type") == "view", F.col("event_type") != "view")):
+        head.union(lines.filter(only).select("value")).coalesce(1).write.mode("append").text(f"{folder}/k={k}")
+    spec = m.CsvTable("events", f"{folder}/k=*", (m.Column("id", "LONG"), m.Column("kind", "STRING"), m.Column("amount", "DOUBLE")), ",", '"', 2)
+    return Compiler(spark).compile(table(spec, "e")).output()
+
+
+def csv_sentinels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _folder(spark)
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat_ws(",", "n_nationkey", F.when(F.col("n_regionkey") > 1, F.col("n_regionkey").cast("string")).otherwise(F.lit("null")), F.when(F.col("n_regionkey") > 2, F.col("n_name")).otherwise(F.lit(""))).alias("value"))
+    spark.createDataFrame([("key,region,name",)], "value string").coalesce(1).union(rows).coalesce(1).write.text(folder)
+    spec = m.CsvTable("nation", folder, (m.Column("key", "INT", True, False), m.Column("region", "DOUBLE"), m.Column("name", "STRING")))
+    return Compiler(spark, Options(csv_nulls="sentinel")).compile(table(spec, "n")).output()
+
+
+def xml_separate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _folder(spark)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderstatus = 'P'")
+    record = F.concat(F.lit('<order id="'), "o_orderkey", F.lit('"><word>'), F.array_join(F.split("o_orderpriority", "-"), "</word><word>"), F.lit("</word></order>"))
+    body = spark.createDataFrame([(0, "<orders>"), (2, "</orders>")], "k int, value string").union(orders.select(F.lit(1), record))
+    body.orderBy("k").coalesce(1).select("value").write.text(folder)
+    spec = m.XmlTable("words", folder, (m.Column("parent_id", "STRING"), m.Column("value", "STRING")), None, "SEPARATE_TABLE:order:word")
+    return Compiler(spark).compile(table(spec, "w")).output()
+
+
 def xml_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark)
     rows = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").collect()
@@ -319,6 +365,9 @@ def memory_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {
+    "csv_folder_source": (csv_folder_source, "SELECT event_id AS id, event_type AS kind, CASE WHEN props IS NOT NULL THEN value END AS amount FROM events"),
+    "csv_sentinels": (csv_sentinels, "SELECT n_nationkey AS key, CASE WHEN n_regionkey > 1 THEN n_regionkey::DOUBLE ELSE 5e-324 END AS region, CASE WHEN n_regionkey > 2 THEN n_name ELSE '' END AS name FROM nation"),
+    "xml_separate_table": (xml_separate_table, "SELECT o_orderkey::VARCHAR AS parent_id, unnest(string_split(o_orderpriority, '-')) AS value FROM orders WHERE o_orderstatus = 'P'"),
     "csv_source": (csv_source, "SELECT n_nationkey AS key, n_name, n_regionkey AS region FROM nation WHERE n_regionkey > 0"),
     "xml_source": (xml_source, "SELECT n_nationkey AS key, n_name, n_regionkey AS region FROM nation WHERE n_regionkey > 0"),
     "btree_source": (btree_source, "SELECT * FROM orders WHERE o_orderstatus = 'F'"),

@@ -62,28 +62,42 @@ def parsed(text: SparkColumn, kind: str, nulls: str) -> SparkColumn:
     return F.when(empty, missing.cast(SPARK_TYPES[kind])).otherwise(value)
 
 
-def csv_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value and ordinal of each line; ordinals follow files and lines, without a shuffle."""
-    lines = spark.read.text(path)
-    return lines.select(F.regexp_replace("value", "\r$", "").alias("value"), F.monotonically_increasing_id().alias("ordinal"))
+def csv_records(spark: SparkSession, table: m.CsvTable) -> tuple[list[str], DataFrame]:
+    """The header's fields, and value and ordinal of each line after a file's header; ordinals follow files and lines.
+
+    A folder's files each have the header, and the same one.  Lines are numbered within a part of a file by Spark's own
+    numbers, which only ascend; those of a file's first part less the smallest among them are line numbers.  The smallest
+    ones are a row a file.
+    """
+    part = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.text(table.path).select(F.regexp_replace("value", "\r$", "").alias("value"), F.monotonically_increasing_id().alias("id"), *part)
+    firsts = lines.filter("block = 0").groupBy("file").agg(F.min("id").alias("first"))
+    lines = lines.join(firsts, "file").withColumn("line", F.when(F.col("block") == 0, F.col("id") - F.col("first")))
+    heads = [r.value for r in lines.filter(F.col("line") == table.header_line - 1).select("value").distinct().limit(2).collect()]
+    if not heads:
+        raise PlanError(f"table '{table.name}' has no header on line {table.header_line}")
+    if len(heads) > 1:
+        raise PlanError(f"the files of '{table.name}' have different headers: {heads[0]!r} and {heads[1]!r}")
+    kept = lines.filter((F.col("line").isNull() | (F.col("line") >= table.header_line)) & (F.trim("value") != ""))
+    return split_line(heads[0], table.separator, table.delimiter), kept.select("value", F.struct("file", "block", "id").alias("ordinal"))
 
 
 def _csv(spark: SparkSession, table: m.CsvTable, alias: str, nulls: str) -> Relation:
     """One record a line; the header is line ``header_line``, and declared columns are found in it by name."""
     columns = m.validate_columns(table.columns)
     try:
-        head = spark.read.text(table.path).head(table.header_line + 1)
+        header, lines = csv_records(spark, table)
+    except PlanError:
+        raise
     except Exception as error:
         raise PlanError(f"table '{table.name}' can't be read: {str(error).splitlines()[0]}") from error
-    if len(head) <= table.header_line:
+    if lines.isEmpty():
         raise PlanError(f"table '{table.name}' has no line after its header")
-    header = [h.strip() for h in split_line(head[table.header_line - 1].value.rstrip("\r"), table.separator, table.delimiter)]
+    header = [h.strip() for h in header]
     place = {h.lower(): i for i, h in reversed(list(enumerate(header)))}
     for c in columns:
         if c.name.lower() not in place:
             raise PlanError(f"column '{c.name}' not found in the header of '{table.name}'")
-    # The header stands in the first partition, whose ordinals are the line numbers.
-    lines = csv_lines(spark, table.path).filter((F.col("ordinal") >= table.header_line) & (F.trim("value") != ""))
     schema = T.StructType([T.StructField(f"f{i}", T.StringType()) for i in range(len(header))])
     options = {"sep": table.separator, "quote": table.delimiter, "escape": table.delimiter, "mode": "PERMISSIVE"}
     record = F.from_csv(F.col("value"), schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,11 +28,12 @@ class SchemaColumn:
 class Runner:
     """Runs the nodes of a session. Plans are kept by value, so that pages of one node share a plan."""
 
-    KEPT = 256
+    KEPT, CURSORS = 256, 4
 
     def __init__(self, spark: SparkSession, options: Options = Options()):
         self.spark, self.options = spark, options
         self._plans: dict[g.Query, Relation] = {}
+        self._cursors: dict[g.Query, tuple[int, Iterator[Row]]] = {}
 
     def relation(self, session: g.Session, node: int) -> Relation:
         query = g.plan(session, node)
@@ -59,8 +61,19 @@ class Runner:
     def page(self, session: g.Session, node: int, offset: int, limit: int) -> list[Row]:
         if offset < 0 or limit <= 0:
             raise ValueError("a page needs an offset of 0 or more and a positive limit")
+        query = g.plan(session, node)
         frame = self._ordered(session, node)
-        return (frame.offset(offset) if offset else frame).limit(limit).collect()
+        if not offset:
+            return frame.limit(limit).collect()  # the first rows need no sort of all
+        # A page that begins where the last one ended goes on from there; any other sorts anew.
+        at, rows = self._cursors.pop(query, (None, None))
+        if at != offset:
+            rows = frame.offset(offset).toLocalIterator()
+        page = list(itertools.islice(rows, limit))
+        while len(self._cursors) >= self.CURSORS:
+            self._cursors.pop(next(iter(self._cursors)))
+        self._cursors[query] = (offset + len(page), rows)
+        return page
 
     def stream(self, session: g.Session, node: int) -> Iterator[Row]:
         """All rows in order, a partition at a time on the driver."""
