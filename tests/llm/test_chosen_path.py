@@ -82,7 +82,10 @@ def test_keeps_the_first_of_each(spark, near):
     docs = spark.createDataFrame(near, "doc_id long, text string").withColumn("class_id", F.lit("x"))
     kept = chosen_path.first_of_each(docs)
     assert kept.columns == docs.columns
-    want = sorted(str(r[0]) for r in brute(near).elements() if r[0] is None or r[0] == r[1])
+    groups = {}
+    for k, top, _ in brute([(k, t) for k, (_, t) in enumerate(near)]):
+        groups.setdefault(top, []).append(near[k][0])
+    want = sorted(str(min(ids, key=lambda x: (x is None, x or 0))) for ids in groups.values())
     assert sorted(str(r.doc_id) for r in kept.collect()) == want
 
 

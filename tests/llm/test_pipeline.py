@@ -2,7 +2,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
-from weft.llm import quality_rules, registry
+from weft.llm import chosen_path, quality_rules, registry
 
 from . import test_chosen_path, test_mixing, test_packing, test_secrets
 
@@ -70,3 +70,21 @@ def test_empty_table(spark, empty):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_one_document_of_each_group_stays(spark, rows):
+    """Repeated rows, rows without an id, and columns named like those of the operators."""
+    long = [r[1] for r in rows if len((r[1] or "").split()) > 100]
+    given = [(5, long[0]), (5, long[0]), (3, long[0]), (3, long[0]), (None, long[0]), (None, long[1]), (None, long[1]), (7, ""), (7, ""), (8, None), (9, long[2])]
+    docs = spark.createDataFrame(given, "doc_id long, text string").selectExpr("*", "1 as row", "2 as number", "3 as class_id", "4 as th", "5 as cid")
+    got = chosen_path.first_of_each(docs)
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(3, long[0]), (None, long[1]), (7, ""), (7, ""), (8, None), (9, long[2])])
+
+
+def test_null_ids_repeated_rows_and_more_columns(spark, documents):
+    docs = documents.union(documents.limit(5)).selectExpr("CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id END AS doc_id", "text", "lang", "source", "n_chars", "1 AS rules", "'a' AS found", "2 AS size", "3 AS piece")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        columns, docs = docs.columns, stage(spark, docs, "")
+        assert docs.columns == columns
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 0

@@ -332,10 +332,18 @@ def join(documents: DataFrame, how: Join = Join()) -> DataFrame:
 
 
 def first_of_each(documents: DataFrame, how: Join = Join()) -> DataFrame:
-    """The documents without those whose class has a smaller doc_id. Columns stay; rows without a doc_id stay.
+    """One document of each class: the one with the smallest doc_id, columns as they are.
 
-    Rows that share the least doc_id of their class all stay, whether or not they are repeated, so that a class with such
-    rows or with rows without a doc_id keeps more than one.
+    Repeated rows and rows without a doc_id are copies like any other: of rows with the least doc_id one stays, and of a
+    class without ids one, too.  A text without words is a class of its own and stays, each time.  Rows are told apart by
+    their numbers in the input, which must give the same rows in the same order whenever it is read, as files do.
     """
-    gone = join(documents, how).filter("class_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    return documents.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    row = "row"
+    while row in {c.lower() for c in documents.columns}:
+        row += "_"
+    numbered = documents.withColumn(row, F.monotonically_increasing_id())
+    rows = numbered.select(F.col(row).alias("number"), F.col("doc_id").cast("long").alias("own"))
+    found = join(numbered.select(F.col(row).alias("doc_id"), "text"), how).select(F.col("doc_id").alias("number"), "class_id")
+    first = found.join(rows, "number").groupBy("class_id").agg(F.min(F.struct(F.col("own").isNull(), "own", "number")).alias("first")).select("first.number")
+    gone = found.select("number").join(first, "number", "left_anti").select(F.col("number").alias(row))
+    return numbered.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
