@@ -47,3 +47,33 @@ def test_results_are_those_of_scoring_all(spark, rows):
 def test_empty_tables(spark, empty, documents):
     assert top_k.search(empty, empty).count() == 0
     assert top_k.search(documents, documents.filter("doc_id < 0")).count() == 0
+
+
+def test_blocks_are_passed_by_and_nothing_is_lost():
+    """On topics that differ most pairs of a query and a block are never met; long texts and repeated rows among them."""
+    import numpy as np
+    import pyarrow as pa
+
+    from weft.llm.textblock import Block
+
+    rng = np.random.default_rng(2)
+    topics = [[f"t{k}w{j}" for j in range(60)] for k in range(12)]
+    texts = [" ".join(rng.choice(topics[i // 80], 40)) + " the of" for i in range(960)]
+    texts[7] = " ".join(rng.choice(topics[0], 90_000))
+    texts[11] = texts[10]
+    rows = list(enumerate(texts))
+    queries = rows[::37]
+    block, how = Block.of(pa.array(texts)), Search(k=3, block=16)
+    doc, word, times = top_k.distinct(block)
+    asked = [word[doc == i] for i, _ in queries]
+    q = top_k.packed_round([i for i, _ in queries], asked)
+    at = np.minimum(np.searchsorted(q.terms, word), len(q.terms) - 1)
+    mine = q.terms[at] == word
+    size = np.diff(block.words[3])
+    scorer = top_k.Scorer(q, np.bincount(at[mine], minlength=len(q.terms)), len(rows), int(size.sum()), how)
+    scorer.index(np.arange(len(rows)), size, doc[mine], at[mine], times[mine])
+    best = scorer.best
+    order = np.lexsort((best.doc, -best.score, best.query))
+    got = [(int(q.ids[best.query[k]]), int(best.doc[k])) for k in order]
+    assert got == [(w[0], w[2]) for w in brute(rows, queries, 3)]
+    assert scorer.scored <= scorer.asked < 0.5 * scorer.pairs

@@ -3,12 +3,15 @@
 Queries are texts, taken whole as sets of words; every document is searched.  Statistics are global: the number of
 documents, their mean length, and for each word of a query the documents that have it.
 
-A shard is a partition of the scan, indexed some thousand documents at a time, so that memory doesn't follow the shard.  Documents of an index are put in order of language and length and cut into blocks.  Words that many documents
-have are kept as columns of impacts with the largest impact for each block; other words are kept as postings.  For each
-query, the exact sum over its postings and the block maxima of its frequent words bound what a block can reach.  Blocks
-that can't reach the query's current k-th score, which carries over from index to index, are skipped; the others are
-scored exactly.  A shard's best k are merged with those of the other shards; nothing that could be among the best is
-dropped, ties included: score (rounded to six decimals), then doc_id.
+A shard is a partition of the scan, indexed some thousand documents at a time, so that memory doesn't follow the shard.
+Documents of an index are put in order of language and length and cut into blocks, and every word of a query has its
+largest impact for each block: words that many documents have in columns of impacts, other words in postings.  Block-max
+WAND goes through an index block by block for all queries at once: where the maxima of a query's words add up to less
+than its k-th score so far, which carries over from index to index, the query passes the block by, and its postings and
+cells there are never met; it stops at the next block where they don't.  There the exact sums of the postings replace
+their maxima, which may still rule the block out; else its documents are scored exactly.  A shard's best k are merged
+with those of the other shards; nothing that could be among the best is dropped, ties included: score (rounded to six
+decimals), then doc_id.
 
 Queries are worked off in rounds of at most ``round_terms`` words and ``round_queries`` queries, which bounds what is
 broadcast and what a task holds.
@@ -180,6 +183,8 @@ class Scorer:
         self.of_term = query[~heavy][order].astype(np.int32)
         self.term_starts = np.concatenate([[0], np.cumsum(np.bincount(queries.numbers[~heavy], minlength=len(counts)))])
         self.best = Best(len(queries.ids), how.k)
+        #: Pairs of a query and a block; those whose postings were read; those that were scored.
+        self.pairs = self.asked = self.scored = 0
 
     def index(self, ids: np.ndarray, lengths: np.ndarray, doc: np.ndarray, number: np.ndarray, times: np.ndarray) -> None:
         """Search these documents: their ids and lengths, in block order, and their words that are terms of the round."""
@@ -191,33 +196,52 @@ class Scorer:
         matrix[doc[heavy], column[heavy]] = impact[heavy]
         edges = np.arange(0, n, how.block)
         most = np.maximum.reduceat(matrix, edges, axis=0).astype(np.float32)
+        # What each query's words reach at most in each block: frequent words first, then the block maxima of postings.
         bound = self.weight @ most.T * np.float32(1 + 1e-5) + np.float32(1e-5)
-        # Postings, by document block: each meets the queries that have its word.
         doc, number, impact = doc[~heavy], number[~heavy], impact[~heavy]
+        order = np.lexsort((doc, number))
+        key = number[order] * len(edges) + doc[order] // how.block
+        at = groups(key)
+        largest = np.maximum.reduceat(impact[order], at) if len(at) else np.zeros(0)
+        query, size = self._queries_of(key[at] // len(edges))
+        whole = bound + np.bincount(query * len(edges) + np.repeat(key[at] % len(edges), size), weights=np.repeat(largest, size), minlength=nq * len(edges)).reshape(nq, -1)
         order = np.argsort(doc, kind="stable")
         doc, number, impact = doc[order], number[order], impact[order]
-        for k in range(0, len(edges), 8):
-            a, z = k * how.block, min(n, (k + 8) * how.block)
-            lo, hi = np.searchsorted(doc, [a, z])
-            fan = (self.term_starts[number[lo:hi] + 1] - self.term_starts[number[lo:hi]]).astype(np.int64)
-            at = np.arange(int(fan.sum())) - np.repeat(np.cumsum(fan) - fan, fan) + np.repeat(self.term_starts[number[lo:hi]], fan)
-            cell = self.of_term[at].astype(np.int64) * (z - a) + np.repeat(doc[lo:hi] - a, fan)
-            rare = np.bincount(cell, weights=np.repeat(impact[lo:hi], fan), minlength=nq * (z - a)).reshape(nq, z - a)
-            found = []
-            for j in range(k, min(k + 8, len(edges))):
-                b, y = j * how.block - a, min((j + 1) * how.block, n) - a
-                mine = rare[:, b:y]
-                ask = np.flatnonzero(bound[:, j] + mine.max(axis=1) >= self.best.least)
-                for c in range(0, len(ask), 1024):
-                    some = ask[c : c + 1024]
-                    score = np.round(self.weight[some].astype(float) @ matrix[a + b : a + y].T + mine[some], 6)
+        place, found = np.full(nq, -1), []
+        self.pairs += whole.size
+        for j, a in enumerate(edges.tolist()):
+            z = min(n, a + how.block)
+            # The pivot: a query goes to the next block in which its words' maxima can reach its k-th score.
+            ask = np.flatnonzero(whole[:, j] >= self.best.least)
+            if len(ask):
+                lo, hi = np.searchsorted(doc, [a, z])
+                query, size = self._queries_of(number[lo:hi])
+                place[ask] = np.arange(len(ask))
+                row = place[query]
+                place[ask] = -1
+                mine = row >= 0
+                cell = row[mine] * (z - a) + np.repeat(doc[lo:hi] - a, size)[mine]
+                rare = np.bincount(cell, weights=np.repeat(impact[lo:hi], size)[mine], minlength=len(ask) * (z - a)).reshape(-1, z - a)
+                # With the exact sums of their postings, some can't reach it after all.
+                still = np.flatnonzero(bound[ask, j] + rare.max(axis=1) >= self.best.least[ask])
+                self.asked, self.scored = self.asked + len(ask), self.scored + len(still)
+                for c in range(0, len(still), 1024):
+                    some = ask[still[c : c + 1024]]
+                    score = np.round(self.weight[some].astype(float) @ matrix[a:z].T + rare[still[c : c + 1024]], 6)
                     least = self.best.least[some]
                     if score.shape[1] > how.k and not least.all():  # queries that have no k rows yet: at most this block's best k
                         least = np.maximum(least, np.partition(score, -how.k, axis=1)[:, -how.k])
                     q, d = np.nonzero((score >= least[:, None]) & (score > 0))
-                    found.append((some[q], score[q, d], ids[a + b + d]))
-            if found:
+                    found.append((some[q], score[q, d], ids[a + d]))
+            if found and (j % 8 == 7 or z == n):
                 self.best.add(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                found = []
+
+    def _queries_of(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The queries that have each term, end to end, and how many each term has."""
+        size = (self.term_starts[term + 1] - self.term_starts[term]).astype(np.int64)
+        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.term_starts[term], size)
+        return self.of_term[at].astype(np.int64), size
 
 
 RESULT = "query_id long, found array<struct<score:double,doc_id:long>>"
