@@ -23,7 +23,9 @@ from weft.llm.shared import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLICES = 512
-#: The DP's budget in words at most; what is above is spent on larger documents first.
+#: The DP's budget in words at most.  What the equal shares leave above it goes to whole documents first, the largest that
+#: fit, so that the DP decides on the last words; it is exact for these.  What a source's words then miss below its target
+#: is less than the smallest document that is left, unless all fit.
 DP_BUDGET = 1 << 15
 
 

@@ -35,6 +35,8 @@ from weft.llm.textblock import blocks
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: A piece's rank is counted within SLICES slices of its length; a slice of a length has 1/SLICES of its pieces.
 SLICES = 512
+#: Runs of places that are broadcast, at most; each has four numbers.
+MOST_BROADCAST = 200_000
 #: A fitted pattern is used where it leaves no more places free.
 SLACK = 7
 
@@ -239,8 +241,9 @@ def pack(documents: DataFrame, vocabulary: str, capacity: int = 2048, close: int
         [(x, [list(map(int, r)) for r in sorted(rs)]) for x, rs in by_length.items()] or [], "length long, runs array<array<long>>"
     )
     run = F.element_at(F.filter("runs", lambda r: (r[0] <= F.col("rank")) & (F.col("rank") < r[0] + r[1])), 1)
+    table = F.broadcast(table) if len(where) <= MOST_BROADCAST else table
     return (
-        ranked.join(F.broadcast(table), "length")
+        ranked.join(table, "length")
         .withColumn("run", run)
         .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("run")[2] + F.col("rank") - F.col("run")[0]).alias("sequence_id"), F.col("run")[3].alias("offset"))
     )
