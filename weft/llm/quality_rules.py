@@ -24,10 +24,15 @@ from weft.llm.stats import base_stats, doc_of
 from weft.llm.textblock import Block, blocks
 
 
+#: Tokens up to which the entropy of a text could rise with their number.
+EVEN_TOKENS = 256
+
+
 @dataclass(frozen=True)
 class Band:
     """What a text may have: characters per token of both vocabularies (least, most), the share of byte tokens (most), and
-    evenness (least), which is entropy over the most it could be for the number of tokens."""
+    evenness (least), which is entropy over the most it could be for the number of tokens, or for EVEN_TOKENS of them: the
+    entropy of a longer text hardly rises, and a long text is not to be rejected for its length."""
 
     chars_per_token: tuple[float, float]
     chars_per_byte_token: tuple[float, float]
@@ -98,7 +103,7 @@ def fertility(block: Block, rules: FertilityRules, chars: np.ndarray) -> dict[st
         "chars_per_token": chars / np.maximum(pieces_total, 1),
         "chars_per_byte_token": chars / np.maximum(total, 1),
         "byte_share": per(n_single) / np.maximum(pieces_total, 1),
-        "evenness": np.where(total > 1, entropy / np.log(np.maximum(total, 2)), 0.0),
+        "evenness": np.where(total > 1, entropy / np.log(np.clip(total, 2, EVEN_TOKENS)), 0.0),
     }
 
 
