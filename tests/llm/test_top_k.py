@@ -77,3 +77,31 @@ def test_blocks_are_passed_by_and_nothing_is_lost():
     got = [(int(q.ids[best.query[k]]), int(best.doc[k])) for k in order]
     assert got == [(w[0], w[2]) for w in brute(rows, queries, 3)]
     assert scorer.scored <= scorer.asked < 0.6 * scorer.pairs
+
+
+def test_texts_are_read_once_and_shards_begin_with_known_scores(spark, rows):
+    """However many rounds there are; a sixteenth of the indexes is searched first, and equal queries are one."""
+    every = [r[:3] for r in rows] + [(100 + r[0], r[1], r[2]) for r in rows[:20]] + [(None, rows[0][1], "en")]
+    plain = spark.createDataFrame(every, "doc_id long, text string, lang string").repartition(4).cache()
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = plain.mapInArrow(counted, plain.schema)
+    how = Search(k=4, round_queries=11, index=2, block=2, group=3)
+    assert len(every) > top_k.FIRST * how.index
+    same(top_k.search(docs, plain.filter("doc_id % 2 = 0"), how).collect(), brute([e[:2] for e in every], [e[:2] for e in every if e[0] is not None and e[0] % 2 == 0], 4))
+    assert read.value == len(every)
+
+
+def test_groups_end_where_the_language_changes():
+    """But for very small ones."""
+    import numpy as np
+
+    label = np.repeat(["de", "en", "x", "y"], [300, 9000, 3, 400])
+    edges = top_k.pieces(label, 4096)
+    assert edges.tolist() == [0, 300, 3300, 6300, 9300, 9703]
+    assert top_k.pieces(label[:0], 4096).tolist() == [0] and top_k.pieces(label[:5], 4096).tolist() == [0, 5]
