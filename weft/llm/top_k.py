@@ -91,11 +91,10 @@ class Group:
         self.places, self.words = starts, np.empty(len(numbers), dtype=np.int32)
         self.words[order] = np.repeat(np.arange(len(at)), self.size)
 
-    def words_of(self, some: np.ndarray) -> np.ndarray:
-        """Which of ``terms`` these queries have."""
-        out = np.zeros(len(self.terms), dtype=bool)
-        out[np.concatenate([self.words[self.places[q] : self.places[q + 1]] for q in some.tolist()])] = True
-        return out
+    def part(self, some: np.ndarray) -> "Group":
+        """A group of these queries; its words are places in this one's ``terms``."""
+        words = [self.words[self.places[q] : self.places[q + 1]] for q in some.tolist()]
+        return Group(np.concatenate(words), np.append(0, np.cumsum([len(w) for w in words])))
 
     def queries_of(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The queries that have each of these words, end to end, and how many each word has."""
@@ -390,31 +389,28 @@ class Scorer:
             met = bound >= least
             return met if met.mean() < WORTH else None
 
-        def score_block(j: int, some: np.ndarray | None, product: np.ndarray) -> None:
-            """Add what reaches the k-th scores of ``some`` queries (None: all) in a block. ``product`` is that of the columns."""
+        def score_block(j: int, some: np.ndarray | None, lists: Group, postings: tuple, product: np.ndarray) -> None:
+            """Add what reaches the k-th scores of ``some`` queries (None: all) in a block: those of ``lists``, which these
+            postings are for, or some of them. ``product`` is that of the columns."""
             begin, end, width = int(edges[j]), int(edges[j + 1]), product.shape[1]
             self.asked, self.scored = self.asked + width, self.scored + width
             known = best.least if some is None else best.least[some]
             new = np.flatnonzero(known == 0)
             least, found = np.maximum(known - 1e-5, 1e-9), []
-            lo, hi = cuts[j], cuts[j + 1]
-            docs, terms, impacts = doc[lo:hi], term[lo:hi], impact[lo:hi]
-            if some is not None:
-                where = np.full(group.n, -1)
+            if lists.n > width:
+                where = np.full(lists.n, -1)
                 where[some] = np.arange(width)
-                if FEW * width < group.n:  # postings of other queries' words are left out before they are met
-                    own = group.words_of(some)[terms]
-                    docs, terms, impacts = docs[own], terms[own], impacts[own]
+            docs, terms, impacts = postings
             # Some documents at a time, so that what is made of their postings stays in the processor's cache.
             rows = np.searchsorted(docs, np.arange(begin, end + 1))
-            sizes = np.append(0, np.cumsum(group.size[terms]))[rows]
+            sizes = np.append(0, np.cumsum(lists.size[terms[rows[0] : rows[-1]]]))[rows - rows[0]]
             step, a = max(CELLS // width, how.k + 1 if len(new) else 1), begin
             while a < end:
                 z = min(end, a + step, max(begin + int(np.searchsorted(sizes, sizes[a - begin] + CELLS, side="right")) - 1, a + (how.k + 1 if len(new) else 1)))
                 mine = slice(rows[a - begin], rows[z - begin])
-                cell, size = group.queries_of(terms[mine])
+                cell, size = lists.queries_of(terms[mine])
                 row, value = np.repeat((docs[mine] - a) * width, size), np.repeat(impacts[mine], size)
-                if some is not None:
+                if lists.n > width:
                     cell = where[cell]
                     row, value, cell = (x[cell >= 0] for x in (row, value, cell))
                 row += cell
@@ -437,15 +433,26 @@ class Scorer:
 
         for first in range(0, blocks, STRETCH):
             last = min(first + STRETCH, blocks)
-            met = reached(first, last)
-            if met is not None:
-                for j, some in enumerate(map(np.flatnonzero, met), first):
-                    if len(some):
-                        score_block(j, some, raised[edges[j] : edges[j + 1]] @ weight[some].T)
-            else:
-                product = raised[edges[first] : edges[last]] @ weight.T
-                for j in range(first, last):
-                    score_block(j, None, product[edges[j] - edges[first] : edges[j + 1] - edges[first]])
+            met, whole = reached(first, last), raised[edges[first] : edges[last]]
+            lo, hi, begin = cuts[first], cuts[last], edges[first]
+            postings = doc[lo:hi], term[lo:hi], impact[lo:hi]
+            asked = np.arange(group.n) if met is None else np.flatnonzero(met.any(axis=0))
+            if not len(asked):
+                continue
+            lists, few = group, FEW * len(asked) < group.n
+            if few:  # the words of these queries only
+                lists = group.part(asked)
+                place = np.full(len(group.terms), -1, dtype=np.int32)
+                place[lists.terms] = np.arange(len(lists.terms))
+                own = place[postings[1]]
+                at = np.flatnonzero(own >= 0)
+                postings = postings[0][at], own[at], postings[2][at]
+            product = whole @ weight[asked].T if few else whole @ weight.T if met is None else None
+            for j in range(first, last):
+                rows = slice(edges[j] - begin, edges[j + 1] - begin)
+                some = asked if few else None if met is None else np.flatnonzero(met[j - first])
+                if met is None or met[j - first].any():
+                    score_block(j, some, lists, postings, whole[rows] @ weight[some].T if product is None else product[rows])
 
 
 RESULT = "query_id long, found array<struct<score:double,doc_id:long>>"
